@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash_dedup
+from . import quality_rules, simhash_dedup, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
 }
 
