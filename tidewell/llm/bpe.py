@@ -166,7 +166,7 @@ class UnitEncoder:
         offsets = offsets - offsets[0]
         odd = odd_texts(data, offsets)
         if odd.any():
-            return self._with_odd(data, offsets, odd)
+            return splice_odd(self, data, offsets, odd)
         if not len(data):
             return np.zeros(0, self.bpe.dtype), np.zeros(len(offsets), np.int64)
         starts = unit_starts(data, offsets)
@@ -194,15 +194,129 @@ class UnitEncoder:
         total = np.concatenate([[0], np.cumsum(length)])
         return tokens, total[np.searchsorted(starts, offsets)]
 
-    def _with_odd(self, data, offsets, odd):
-        lengths = np.where(odd, 0, np.diff(offsets))
-        plain = data[flat(offsets[:-1], lengths)]
-        ids, cuts = self.encode(plain, np.concatenate([[0], np.cumsum(lengths)]))
-        parts, sizes = [], np.diff(cuts)
-        for i in range(len(odd)):
-            if odd[i]:
-                parts.append(self.bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes()))
-                sizes[i] = len(parts[-1])
-            else:
-                parts.append(ids[cuts[i] : cuts[i + 1]])
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+class ChunkEncoder:
+    """Encodes texts by chunks whose ends the content defines.
+
+    A chunk ends where the hash of the last ``REACH`` bytes has ``MASK`` bits of
+    zeros, so copies of a passage fall into the same chunks in whatever text
+    they stand. A chunk is encoded once and comes from a pool afterwards. Tokens
+    at a join may differ from those of the whole text: the join is widened to
+    the nearest points on both sides where the pattern must split, and what lies
+    between is encoded again. Both sides must agree on a token's end there; a
+    text where they don't is encoded whole.
+    """
+
+    REACH = 16
+    MASK = 9
+    #: Tokens of the pool; beyond, it starts afresh.
+    POOL = 8_000_000
+
+    def __init__(self, bpe: Codec):
+        self.bpe = bpe
+        self.units = UnitEncoder(bpe)
+        self.encoded = self.reused = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 16, self.bpe.dtype)
+        self.used = 0
+
+    def chunk_starts(self, data: np.ndarray, offsets: np.ndarray, hashes: SpanHash) -> np.ndarray:
+        n, w = len(data), self.REACH
+        start = np.zeros(n + 1, bool)
+        if n > w:
+            rolled = (hashes.sums[w:n] - hashes.sums[: n - w]) * hashes.inverse[: n - w]
+            start[w:n] = (textscan.mix(rolled) >> np.uint64(64 - self.MASK)) == 0
+            start[:n] &= (data & 0xC0) != 0x80  # a character stays whole
+        start[offsets] = True
+        start[n] = False
+        return np.flatnonzero(start)
+
+    def _chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: SpanHash) -> np.ndarray:
+        """Tokens of all chunks, each encoded by itself."""
+        unique, where, inverse = np.unique(hashes.of(starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, unique)
+        new = np.ones(len(unique), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != unique[inside]
+        if new.any():
+            w = where[new]
+            lengths = ends[w] - starts[w]
+            ids, cuts = self.units.encode(data[flat(starts[w], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+            if self.used + len(ids) > self.POOL and self.used:
+                self.clear()
+                return self._chunks(data, starts, ends, hashes)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(self.used, len(ids)) + len(ids), self.bpe.dtype)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.known = np.insert(self.known, at[new], unique[new])
+            self.start = np.insert(self.start, at[new], cuts[:-1] + self.used)
+            self.length = np.insert(self.length, at[new], np.diff(cuts))
+            self.used += len(ids)
+            at = np.searchsorted(self.known, unique)
+        self.encoded += int(new.sum())
+        self.reused += len(starts) - int(new.sum())
+        return self.pool[flat(self.start[at][inverse], self.length[at][inverse])]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the texts ``data[offsets[i]:offsets[i + 1]]``, and n + 1 offsets into them."""
+        data = data[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        n = len(data)
+        if not n:
+            return np.zeros(0, self.bpe.dtype), np.zeros(len(offsets), np.int64)
+        odd = odd_texts(data, offsets)
+        if odd.any():
+            return splice_odd(self, data, offsets, odd)
+        hashes = SpanHash(data)
+        chunks = self.chunk_starts(data, offsets, hashes)
+        tokens = self._chunks(data, chunks, np.append(chunks[1:], n), hashes)
+        ends = np.cumsum(self.bpe.lengths[tokens])
+        begins = np.concatenate([[0], ends[:-1]])
+        units = np.append(unit_starts(data, offsets), n)
+        place = np.searchsorted(units, chunks)
+        torn = np.unique(place[units[place] != chunks])
+        if len(torn):
+            u, v = units[torn - 1], units[torn]
+            again, cuts = self.units.encode(data[flat(u, v - u)], np.concatenate([[0], np.cumsum(v - u)]))
+            i, j = np.searchsorted(begins, u), np.searchsorted(begins, v)
+            agree = (begins[np.minimum(i, len(begins) - 1)] == u) & ((v == n) | (begins[np.minimum(j, len(begins) - 1)] == v))
+            if not agree.all():
+                return self.units.encode(data, offsets)
+            keep_from = np.concatenate([[0], j])
+            keep_to = np.append(i, len(tokens))
+            starts = np.empty(2 * len(torn) + 1, np.int64)
+            sizes = np.empty_like(starts)
+            starts[0::2], sizes[0::2] = keep_from, keep_to - keep_from
+            starts[1::2], sizes[1::2] = cuts[:-1] + len(tokens), np.diff(cuts)
+            tokens = np.concatenate([tokens, again])[flat(starts, sizes)]
+            ends = np.cumsum(self.bpe.lengths[tokens])
+        return tokens, np.searchsorted(ends, offsets, side="right")
+
+
+def splice_odd(encoder, data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The encoder's tokens, with the odd texts encoded whole."""
+    lengths = np.where(odd, 0, np.diff(offsets))
+    ids, cuts = encoder.encode(data[flat(offsets[:-1], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+    parts, sizes = [], np.diff(cuts)
+    for i in range(len(odd)):
+        if odd[i]:
+            parts.append(encoder.bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes()))
+            sizes[i] = len(parts[-1])
+        else:
+            parts.append(ids[cuts[i] : cuts[i + 1]])
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One chunk encoder of a file in each process, so that its pools last from batch to batch."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(codec(path))
+    return _encoders[path]

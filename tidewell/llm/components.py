@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +41,22 @@ def components(edges: DataFrame) -> DataFrame:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = tuple(at)
         current = cut(_small(_large(current)))
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) that connect whatever the edges (a, b) connect."""
+    if len(a) < 3:
+        return a, b
+    nodes, local = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = local[: len(a)], local[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, i, root[j])
+        np.minimum.at(new, j, root[i])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    away = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[away], nodes[root[away]]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, simhash_dedup, suffix_dedup
+from . import embedding_dedup, quality_rules, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_simhash_dedup": simhash_dedup.op7_simhash_dedup,
+    "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
 }
 
-SQL = {"op1_quality_rules": quality_rules.SQL}
+SQL = {"op1_quality_rules": quality_rules.SQL, "op6_url_filter": url_filter.SQL}
