@@ -42,7 +42,7 @@ from .components import components
 
 BITS = 128
 #: Most bits in which near copies differ.
-DISTANCE = 16
+DISTANCE = 20
 #: Texts of fewer distinct words are compared as wholes.
 LEAST_WORDS = 8
 #: Cells of a matrix of distances that are worked on together.

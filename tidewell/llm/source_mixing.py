@@ -48,6 +48,8 @@ TARGETS = {"good": 0.97, "low": 0.025, "toxic": 0.005}
 ANCHOR, SCALE = "good", 1.25
 #: Labelled documents to learn from, at most.
 TRAIN_ROWS = 4000
+#: A document is used so often at most; a domain that the corpus hardly holds then stays below its target.
+MOST = 4.0
 BUCKETS = 1 << 14
 EXTRA = 5
 STEPS = 40
@@ -166,22 +168,22 @@ def _posteriors(model):
     return run
 
 
-def replay(p: np.ndarray, duals: np.ndarray) -> np.ndarray:
+def replay(p: np.ndarray, duals: np.ndarray, most: float = MOST) -> np.ndarray:
     """Rates after the projected steps so far, from 1."""
     rate = np.ones(len(p))
     for dual in duals:
-        rate = np.maximum(0.0, rate - p @ dual)
+        rate = np.clip(rate - p @ dual, 0.0, most)
     return rate
 
 
-def _sums(duals: np.ndarray):
+def _sums(duals: np.ndarray, most: float):
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                got = (replay(p, duals) * t) @ p, (p * t[:, None]).T @ p
+                got = (replay(p, duals, most) * t) @ p, (p * t[:, None]).T @ p
                 total = got if total is None else (total[0] + got[0], total[1] + got[1])
         if total is not None:
             yield pa.RecordBatch.from_pylist([{"totals": total[0].tolist(), "moments": total[1].reshape(-1).tolist()}])
@@ -189,18 +191,18 @@ def _sums(duals: np.ndarray):
     return run
 
 
-def _totals(known: DataFrame, duals: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = known.select("tokens", "posterior").mapInArrow(_sums(duals), "totals array<double>, moments array<double>")
+def _totals(known: DataFrame, duals: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    parts = known.select("tokens", "posterior").mapInArrow(_sums(duals, most), "totals array<double>, moments array<double>")
     sums = [F.sum(F.col("totals")[i]) for i in range(k)] + [F.sum(F.col("moments")[i]) for i in range(k * k)]
     row = np.array([x or 0.0 for x in parts.agg(*sums).first()])
     return row[:k], row[k:].reshape(k, k)
 
 
-def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(duals of the steps, expected tokens reached, targets) for a table of tokens and posteriors."""
     targets, k = targets or TARGETS, len(names)
     duals = np.zeros((0, k))
-    now, moments = _totals(known, duals, k)
+    now, moments = _totals(known, duals, k, most)
     share = np.array([targets.get(d, 0.0) for d in names])
     base = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
     wanted = share / share[base] * now[base] * SCALE if share[base] > 0 else now
@@ -210,13 +212,13 @@ def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = N
         if np.abs(now - wanted).max() <= CLOSE * whole:
             break
         duals = np.concatenate([duals, [metric @ (now - wanted)]])
-        before, (now, _) = now, _totals(known, duals, k)
+        before, (now, _) = now, _totals(known, duals, k, most)
         if np.abs(now - before).max() <= 0.1 * CLOSE * whole:
             break
     return duals, now, wanted
 
 
-def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
     """``docs`` (without the text, unless asked for) with tokens, posterior, domain (the likeliest) and rate."""
     spark = docs.sparkSession
     weights, dense, names = learn(labelled, labels, rows)
@@ -230,12 +232,12 @@ def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str =
         known = cut(given.select(f"{OWN}text").mapInArrow(_posteriors(model), T.StructType(schema.fields[-2:])))
     else:
         known = scored = cut(scored)
-    duals, _, _ = fit(known, names, targets)
-    at = F.expr(f"array_position(posterior, array_max(posterior)) - 1")
+    duals, _, _ = fit(known, names, targets, most)
+    at = F.expr("array_position(posterior, array_max(posterior)) - 1")
     rate = F.lit(1.0)
     for dual in duals:
         step = sum((F.col("posterior")[i] * F.lit(float(d)) for i, d in enumerate(dual)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - step)
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - step))
     columns = [F.col(f"`{c}`") for c in (kept if keep_text else narrow)]
     return scored.select(*columns, "tokens", "posterior", F.element_at(F.array(*[F.lit(d) for d in names]), (at + 1).cast("int")).alias("domain"), rate.alias("rate"))
 
@@ -246,9 +248,9 @@ def copies(mixed: DataFrame, salt: list[str]) -> DataFrame:
     return mixed.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
-def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None) -> DataFrame:
+def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with their own columns."""
-    mixed = copies(mix(docs, labelled, labels, text_col, targets, keep_text=True), [id_col])
+    mixed = copies(mix(docs, labelled, labels, text_col, targets, most, keep_text=True), [id_col])
     return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
