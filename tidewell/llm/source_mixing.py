@@ -2,15 +2,16 @@
 
 Domains are the classes of a labelled table. A classifier learns them from a
 bounded sample of labelled documents and gives every document a posterior over
-domains. Each document then gets a rate, how often it is to be used, at least 0
-and as close to 1 as the targets allow: projected gradient descent on the
-squared difference between the domains' expected tokens (the sum over documents
-of rate x tokens x posterior) and their targets. The difference is measured in
-the metric of A^-1, A being the sum of tokens x posterior x posterior', in which
-a step of 1 is safe and few steps are needed.
+domains. Each document then gets a rate, how often it is to be used, from 0 to
+``MOST``: accelerated projected gradient descent on the squared differences
+between the domains' expected tokens (the sum over documents of rate x tokens x
+posterior) and their targets, both as shares of all tokens, plus ``RIDGE`` times
+the squared distance of the rates from 1, which settles what the targets leave
+open and keeps a domain that the corpus hardly holds from upsetting the rest.
+The first point is the solution without bounds; steps mend what the bounds cut.
 
 How it scales. A document's rate is a function of its posterior and of the
-gradients so far, which are one number a domain. So a step is one aggregation
+gradients so far, one number a domain and step. So a step is one aggregation
 over a narrow table (tokens and posteriors, written once to the shared folder)
 that repeats the steps for each row and returns one sum a domain; rates are
 never stored between steps, and nothing of the corpus' size is shuffled or
@@ -52,9 +53,10 @@ TRAIN_ROWS = 4000
 MOST = 4.0
 BUCKETS = 1 << 14
 EXTRA = 5
+RIDGE = 0.002
 STEPS = 40
-#: Steps end when no domain is off its target by more than this share of all tokens, or no longer changes.
-CLOSE = 1e-6
+#: Steps end when no domain's expected tokens change by more than this share of all tokens.
+CLOSE = 1e-5
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#$%&*|~^<>{}[]\\=_@!"]] = 1
@@ -153,93 +155,106 @@ def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tup
     return *train(f, label, len(names)), names
 
 
-def _posteriors(model):
+def _posteriors(model, plan=None):
+    """Tokens and posterior of the last column, a text; with a plan also the rate, in place of nothing."""
+
     def run(batches):
         weights, dense = model.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            data, offsets = textscan.buffer(text)
+            data, offsets = textscan.buffer(batch.column(batch.num_columns - 1))
             for a, b in textscan.slices(offsets):
                 f = features(data, offsets[a : b + 1])
                 p = softmax(scores(f, weights, dense))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(f.tokens), lists], [*batch.schema.names[:-1], "tokens", "posterior"])
+                columns, names = [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(f.tokens), lists], [*batch.schema.names[:-1], "tokens", "posterior"]
+                if plan is not None:
+                    columns.append(pa.array(plan.rates(p)))
+                    names.append("rate")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def replay(p: np.ndarray, duals: np.ndarray, most: float = MOST) -> np.ndarray:
-    """Rates after the projected steps so far, from 1."""
-    rate = np.ones(len(p))
-    for dual in duals:
-        rate = np.clip(rate - p @ dual, 0.0, most)
-    return rate
+@dataclass
+class Plan:
+    """The steps so far: a rate is what they make of a posterior."""
+
+    first: np.ndarray  #: the unbounded solution: 1 - posterior x first
+    gaps: list[np.ndarray]  #: expected tokens less targets at each step, as shares of all tokens
+    step: float
+    most: float
+
+    def points(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates, and the point ahead of them from which the next step starts."""
+        rate = ahead = np.clip(1 - p @ self.first, 0.0, self.most)
+        for k, gap in enumerate(self.gaps, 1):
+            before, rate = rate, np.clip(ahead - self.step * (p @ gap + RIDGE * (ahead - 1)), 0.0, self.most)
+            ahead = rate + (k / (k + 3)) * (rate - before)
+        return rate, ahead
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.points(p)[0]
 
 
-def _sums(duals: np.ndarray, most: float):
+def _sums(plan: Plan | None):
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                got = (replay(p, duals, most) * t) @ p, (p * t[:, None]).T @ p
-                total = got if total is None else (total[0] + got[0], total[1] + got[1])
+                points = (np.ones(len(t)), np.ones(len(t))) if plan is None else plan.points(p)
+                got = [(r * t) @ p for r in points] + ([((p * t[:, None]).T @ p).reshape(-1)] if plan is None else [])
+                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
         if total is not None:
-            yield pa.RecordBatch.from_pylist([{"totals": total[0].tolist(), "moments": total[1].reshape(-1).tolist()}])
+            yield pa.RecordBatch.from_pylist([{"sums": np.concatenate(total).tolist()}])
 
     return run
 
 
-def _totals(known: DataFrame, duals: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    parts = known.select("tokens", "posterior").mapInArrow(_sums(duals, most), "totals array<double>, moments array<double>")
-    sums = [F.sum(F.col("totals")[i]) for i in range(k)] + [F.sum(F.col("moments")[i]) for i in range(k * k)]
-    row = np.array([x or 0.0 for x in parts.agg(*sums).first()])
-    return row[:k], row[k:].reshape(k, k)
+def _totals(known: DataFrame, plan: Plan | None, k: int) -> np.ndarray:
+    """Expected tokens at the rates, k of them, at the points ahead, k more, and without a plan the k x k moments."""
+    parts = known.select("tokens", "posterior").mapInArrow(_sums(plan), "sums array<double>")
+    n = 2 * k + (k * k if plan is None else 0)
+    return np.array([x or 0.0 for x in parts.agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()])
 
 
-def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(duals of the steps, expected tokens reached, targets) for a table of tokens and posteriors."""
+def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS) -> tuple[Plan, np.ndarray, np.ndarray]:
+    """(plan, expected tokens reached, targets) for a table of tokens and posteriors."""
     targets, k = targets or TARGETS, len(names)
-    duals = np.zeros((0, k))
-    now, moments = _totals(known, duals, k, most)
+    sums = _totals(known, None, k)
+    now, moments = sums[:k], sums[2 * k :].reshape(k, k)
+    whole = max(float(now.sum()), 1.0)
     share = np.array([targets.get(d, 0.0) for d in names])
     base = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
     wanted = share / share[base] * now[base] * SCALE if share[base] > 0 else now
-    whole = max(float(now.sum()), 1.0)
-    metric = np.linalg.pinv(moments + 1e-9 * whole * np.eye(k))
+    first = np.linalg.solve(moments / whole + RIDGE * np.eye(k), (now - wanted) / whole)
+    plan = Plan(first, [], 1 / (float(np.linalg.eigvalsh(moments / whole).max()) + RIDGE), most)
+    sums = _totals(known, plan, k)
     for _ in range(steps):
-        if np.abs(now - wanted).max() <= CLOSE * whole:
-            break
-        duals = np.concatenate([duals, [metric @ (now - wanted)]])
-        before, (now, _) = now, _totals(known, duals, k, most)
-        if np.abs(now - before).max() <= 0.1 * CLOSE * whole:
+        at, ahead = sums[:k], sums[k:]
+        plan.gaps.append((ahead - wanted) / whole)
+        sums = _totals(known, plan, k)
+        if np.abs(sums - np.concatenate([at, ahead])).max() <= CLOSE * whole:
             break
-    return duals, now, wanted
+    return plan, sums[:k], wanted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
     """``docs`` (without the text, unless asked for) with tokens, posterior, domain (the likeliest) and rate."""
     spark = docs.sparkSession
     weights, dense, names = learn(labelled, labels, rows)
-    kept = [c for c in docs.columns if c not in ("tokens", "posterior", "domain", "rate") and (keep_text or c != text_col)]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("tokens", T.LongType()).add("posterior", T.ArrayType(T.DoubleType()))
     model = spark.sparkContext.broadcast((weights, dense))  # BUCKETS rows, whatever the corpus
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text"))
-    narrow = [c for c in kept if c != text_col]
-    scored = given.mapInArrow(_posteriors(model), schema)
-    if keep_text:
-        known = cut(given.select(f"{OWN}text").mapInArrow(_posteriors(model), T.StructType(schema.fields[-2:])))
-    else:
-        known = scored = cut(scored)
-    duals, _, _ = fit(known, names, targets, most)
-    at = F.expr("array_position(posterior, array_max(posterior)) - 1")
-    rate = F.lit(1.0)
-    for dual in duals:
-        step = sum((F.col("posterior")[i] * F.lit(float(d)) for i, d in enumerate(dual)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - step))
-    columns = [F.col(f"`{c}`") for c in (kept if keep_text else narrow)]
-    return scored.select(*columns, "tokens", "posterior", F.element_at(F.array(*[F.lit(d) for d in names]), (at + 1).cast("int")).alias("domain"), rate.alias("rate"))
+    kept = [c for c in docs.columns if c not in ("tokens", "posterior", "domain", "rate") and (keep_text or c != text_col)]
+    text = F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")
+    found = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
+    known = cut(docs.select(text).mapInArrow(_posteriors(model), T.StructType(found)))
+    plan, _, _ = fit(known, names, targets, most)
+    schema = T.StructType([*(docs.schema[c] for c in kept), *found, T.StructField("rate", T.DoubleType())])
+    scored = docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(_posteriors(model, plan), schema)
+    likeliest = F.expr("array_position(posterior, array_max(posterior))").cast("int")
+    domain = F.element_at(F.array(*[F.lit(d) for d in names]), likeliest).alias("domain")
+    return scored.select(*[F.col(f"`{c}`") for c in kept], "tokens", "posterior", domain, "rate")
 
 
 def copies(mixed: DataFrame, salt: list[str]) -> DataFrame:
