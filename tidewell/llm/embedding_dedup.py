@@ -113,7 +113,7 @@ def _cells(dim: int, m: int, g: int, budget: float):
                 cell = cell.astype(np.int64)
 
                 def keyed(at, cells, probe, b=b):
-                    key = np.full(len(at), b, np.uint64)
+                    key = textscan.mix(np.full(len(at), b, np.uint64), 9)  # apart from any cell's number
                     for c in cells.T:
                         key = textscan.mix(key + c.astype(np.uint64))
                     rows = batch.take(pa.array(at))
@@ -179,12 +179,12 @@ def _compare(dim: int, m: int, budget: float):
             block, ids = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             probe = batch.column(2).to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f4").reshape(-1, dim)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
             for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-                if key[s] != open_key and held:
+                if (key[s], block[s]) != open_key and held:
                     yield from work()
                     held.clear()
-                open_key = key[s]
+                open_key = key[s], block[s]
                 held.append((block[s:e], probe[s:e], ids[s:e], x[s:e]))
         if held:
             yield from work()
@@ -205,7 +205,7 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     for dim, n in sorted(tuple(r) for r in single.groupBy("dim").count().collect()):
         m, g = plan(n, dim, budget)
         spread = single.where(F.col("dim") == dim).select("id", "vec").mapInArrow(_cells(dim, m, g, budget), "key bigint, block int, probe boolean, id bigint, vec binary")
-        edges = edges.unionByName(spread.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(dim, m, budget), "a bigint, b bigint"))
+        edges = edges.unionByName(spread.repartition("key").sortWithinPartitions("key", "block").mapInArrow(_compare(dim, m, budget), "a bigint, b bigint"))
     roots = components(edges)
     return linked.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
