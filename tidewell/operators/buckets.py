@@ -27,10 +27,11 @@ def minute(ts: Column) -> Column:
 
 def signals(posts: DataFrame) -> DataFrame:
     """(source, ts, arrival, minute, family, pos, key, label): each signal of each post, in the order in which it is decided."""
-    arrays = [
-        F.transform(c, lambda x, i, f=f, r=r: F.struct(F.lit(r).alias("rank"), F.lit(f).alias("family"), i.alias("pos"), x.alias("key")))
-        for r, (c, f) in enumerate(FAMILIES.items())
-    ]
+
+    def placed(column: str, family: str, rank: int) -> Column:
+        return F.transform(column, lambda x, i: F.struct(F.lit(rank).alias("rank"), F.lit(family).alias("family"), i.alias("pos"), x.alias("key")))
+
+    arrays = [placed(c, f, r) for r, (c, f) in enumerate(FAMILIES.items())]
     base = posts.withColumn("minute", F.floor(F.col("ts") / 60).cast("bigint"))
     each = base.select("source", "ts", "minute", "labels", F.explode(F.concat(*arrays)).alias("s"))
     label = F.when(F.col("s.family") == "tag", F.col("labels")[F.col("s.key")])

@@ -41,7 +41,7 @@ def accept(signals: DataFrame, arrival_col: str = "arrival", horizon: int = HORI
         rows["reason"] = [whole.decide(*x) for x in zip(rows["source"], rows["family"], rows["key"], rows[arrival_col], strict=True)]
         return rows[[*fields, "reason"]]
 
-    known = signals.where("source is not null").groupBy("source" if global_cap is None else F.lit(0)).applyInPandas(run, T.StructType([*signals.schema.fields, T.StructField("reason", T.StringType())]))
+    known = signals.where("source is not null").groupBy(*(["source"] if global_cap is None else [])).applyInPandas(run, T.StructType([*signals.schema.fields, T.StructField("reason", T.StringType())]))
     lost = signals.where("source is null").withColumn("reason", F.concat(F.lit("missing_source_"), "family"))
     return known.unionByName(lost)
 
