@@ -3,19 +3,19 @@
 Domains are the classes of a labelled table. A classifier learns them from a
 bounded sample of labelled documents and gives every document a posterior over
 domains. Each document then gets a rate, how often it is to be used, from 0 to
-``MOST``: accelerated projected gradient descent on the squared differences
-between the domains' expected tokens (the sum over documents of rate x tokens x
-posterior) and their targets, both as shares of all tokens, plus ``RIDGE`` times
-the squared distance of the rates from 1, which settles what the targets leave
-open and keeps a domain that the corpus hardly holds from upsetting the rest.
-The first point is the solution without bounds; steps mend what the bounds cut.
-
-How it scales. A document's rate is a function of its posterior and of the
-gradients so far, one number a domain and step. So a step is one aggregation
-over a narrow table (tokens and posteriors, written once to the shared folder)
-that repeats the steps for each row and returns one sum a domain; rates are
-never stored between steps, and nothing of the corpus' size is shuffled or
-collected. Only the training sample, ``TRAIN_ROWS`` documents at most, goes to
+``MOST``: scaled projected gradient descent on the squared differences between the
+domains' expected tokens (the sum over documents of rate x tokens x posterior) and
+their targets, both as shares of all tokens, plus ``RIDGE`` times the squared
+distance of the rates from 1, which settles what the targets leave open and keeps
+a domain that the corpus hardly holds from upsetting the rest. The gradient of a
+document is its posterior times one vector for all; a step scales that vector by
+the moments of the documents that are at no bound, then projects on the bounds.
+
+How it scales. Steps of that form leave each rate a function of the document's
+posterior and one number a domain: min(MOST, max(0, 1 - posterior x dual)). So a
+step is one aggregation over a narrow table (tokens and posteriors, written once to
+the shared folder) to a few sums; rates are never stored between steps, and nothing
+of the corpus' size is shuffled or collected. Only the training sample, ``TRAIN_ROWS`` documents at most, goes to
 the driver; it is drawn by a hash of the id over all labels.
 
 Results that hold by definition:
@@ -55,8 +55,8 @@ BUCKETS = 1 << 14
 EXTRA = 5
 RIDGE = 0.002
 STEPS = 40
-#: Steps end when no domain's expected tokens change by more than this share of all tokens.
-CLOSE = 1e-5
+#: Steps end when the scaled gradient is below this everywhere.
+CLOSE = 1e-7
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#$%&*|~^<>{}[]\\=_@!"]] = 1
@@ -156,7 +156,7 @@ def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tup
 
 
 def _posteriors(model, plan=None):
-    """Tokens and posterior of the last column, a text; with a plan also the rate, in place of nothing."""
+    """Tokens and posterior of the last column, a text; with a plan also the rate."""
 
     def run(batches):
         weights, dense = model.value
@@ -177,67 +177,63 @@ def _posteriors(model, plan=None):
 
 @dataclass
 class Plan:
-    """The steps so far: a rate is what they make of a posterior."""
+    """Rates as a function of the posterior."""
 
-    first: np.ndarray  #: the unbounded solution: 1 - posterior x first
-    gaps: list[np.ndarray]  #: expected tokens less targets at each step, as shares of all tokens
-    step: float
+    dual: np.ndarray
     most: float
 
-    def points(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates, and the point ahead of them from which the next step starts."""
-        rate = ahead = np.clip(1 - p @ self.first, 0.0, self.most)
-        for k, gap in enumerate(self.gaps, 1):
-            before, rate = rate, np.clip(ahead - self.step * (p @ gap + RIDGE * (ahead - 1)), 0.0, self.most)
-            ahead = rate + (k / (k + 3)) * (rate - before)
-        return rate, ahead
-
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return self.points(p)[0]
+        return np.clip(1 - p @ self.dual, 0.0, self.most)
 
 
-def _sums(plan: Plan | None):
+def _sums(plan: Plan):
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                points = (np.ones(len(t)), np.ones(len(t))) if plan is None else plan.points(p)
-                got = [(r * t) @ p for r in points] + ([((p * t[:, None]).T @ p).reshape(-1)] if plan is None else [])
-                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
+                rate = plan.rates(p)
+                free = p * (t * ((rate > 0) & (rate < plan.most)))[:, None]
+                got = np.concatenate([t @ p, (rate * t) @ p, (free.T @ p).reshape(-1)])
+                total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_pylist([{"sums": np.concatenate(total).tolist()}])
+            yield pa.RecordBatch.from_pylist([{"sums": total.tolist()}])
 
     return run
 
 
-def _totals(known: DataFrame, plan: Plan | None, k: int) -> np.ndarray:
-    """Expected tokens at the rates, k of them, at the points ahead, k more, and without a plan the k x k moments."""
+def _totals(known: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected tokens of the domains at rates of 1, at the plan's rates, and the moments of the documents at no bound."""
+    k = len(plan.dual)
     parts = known.select("tokens", "posterior").mapInArrow(_sums(plan), "sums array<double>")
-    n = 2 * k + (k * k if plan is None else 0)
-    return np.array([x or 0.0 for x in parts.agg(*[F.sum(F.col("sums")[i]) for i in range(n)]).first()])
+    row = np.array([x or 0.0 for x in parts.agg(*[F.sum(F.col("sums")[i]) for i in range(2 * k + k * k)]).first()])
+    return row[:k], row[k : 2 * k], row[2 * k :].reshape(k, k)
 
 
 def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS) -> tuple[Plan, np.ndarray, np.ndarray]:
     """(plan, expected tokens reached, targets) for a table of tokens and posteriors."""
     targets, k = targets or TARGETS, len(names)
-    sums = _totals(known, None, k)
-    now, moments = sums[:k], sums[2 * k :].reshape(k, k)
-    whole = max(float(now.sum()), 1.0)
+    plan = Plan(np.zeros(k), most)
+    base, now, moments = _totals(known, plan)
+    whole = max(float(base.sum()), 1.0)
     share = np.array([targets.get(d, 0.0) for d in names])
-    base = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
-    wanted = share / share[base] * now[base] * SCALE if share[base] > 0 else now
-    first = np.linalg.solve(moments / whole + RIDGE * np.eye(k), (now - wanted) / whole)
-    plan = Plan(first, [], 1 / (float(np.linalg.eigvalsh(moments / whole).max()) + RIDGE), most)
-    sums = _totals(known, plan, k)
+    anchor = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
+    wanted = share / share[anchor] * base[anchor] * SCALE if share[anchor] > 0 else base
+    slope = lambda plan, now: RIDGE * plan.dual - (now - wanted) / whole
+    length = 1.0
     for _ in range(steps):
-        at, ahead = sums[:k], sums[k:]
-        plan.gaps.append((ahead - wanted) / whole)
-        sums = _totals(known, plan, k)
-        if np.abs(sums - np.concatenate([at, ahead])).max() <= CLOSE * whole:
+        gradient = slope(plan, now)
+        if np.abs(gradient).max() <= CLOSE:
             break
-    return plan, sums[:k], wanted
+        move = np.linalg.solve(moments / whole + RIDGE * np.eye(k), gradient)
+        trial = Plan(plan.dual - length * move, most)
+        _, then, free = _totals(known, trial)
+        if np.linalg.norm(slope(trial, then)) < np.linalg.norm(gradient):
+            plan, now, moments, length = trial, then, free, min(1.0, 2 * length)
+        else:
+            length /= 2
+    return plan, now, wanted
 
 
 def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
