@@ -302,6 +302,35 @@ def test_embeddings(spark, monkeypatch, shape):
     assert kept.count() == len(set(want)) + 1 + 4 + 1 + 1 and embedding_dedup.drop_near_copies(table.where("false")).count() == 0
 
 
+def test_embedding_plan():
+    r = np.random.default_rng(7)
+    for dim in (64, 128):
+        x = r.standard_normal((500, dim))
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        for n in (10**3, 10**5, 10**7, 10**9):
+            assert embedding_dedup.plan(n, dim, 0.1, x)[0] >= 2
+
+
+def test_large_cells(spark, monkeypatch):
+    """A cell that holds nearly everything is dealt to many keys, with the same groups."""
+    monkeypatch.setattr(embedding_dedup, "SPLIT", 40)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "PART_BYTES", 64 * 24 * 4)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((300, 24))
+    x = np.concatenate([x, x[:100] + 0.05 * r.standard_normal((100, 24)), x[:60] + 0.2 * r.standard_normal((60, 24))])
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    want = brute_groups(len(x), lambda i, j: ((unit[i].astype(float) - unit[j]) ** 2).sum() <= 2 - 2 * embedding_dedup.SIMILARITY)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {q["id"]: q["root"] for q in embedding_dedup.near_groups(table).collect()}
+    assert [got[i] for i in range(len(x))] == want
+    vecs = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(unit)], "id bigint, vec binary")
+    spread = vecs.mapInArrow(embedding_dedup._cells(24, 2, 1, 0.1), "key bigint, block int, probe boolean, id bigint, vec binary")
+    assert spread.groupBy("key").count().agg(F.max("count")).first()[0] > 200
+    assert embedding_dedup.dealt(spread, 24).groupBy("key", "sub").count().agg(F.max("count")).first()[0] < 200
+
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -10,11 +10,19 @@ vectors within the threshold; its least id stays.
 
 How it scales. Equal vectors collapse first. A grid cell is a key of an
 ordinary shuffle; a vector goes to its own cell and, among the later ones, to
-those neighbours that its ball touches. ``plan`` chooses the blocks and how
-many coordinates the grid takes from the number of vectors: more of them mean
-more rows and fewer chance meetings. No choice changes the result, and there is
-no cap on the vectors of a cell, which are compared tile by tile. A cell returns
-edges that connect what is close in it, not all pairs.
+those neighbours that its ball touches. ``plan`` chooses the blocks, two at
+least, and how many coordinates the grid takes, by the rows and meetings that a
+bounded sample of the vectors has under each choice. No choice changes the
+result, and there is no cap on the vectors of a cell: a large one is dealt in
+parts, each pair of parts is a key of its own, and a task holds two parts at
+most while the rest is streamed tile by tile. A cell returns edges that connect
+what is close in it, not all pairs.
+
+What stays. Vectors spread evenly over many dimensions lie so close together in
+each coordinate, against the threshold, that the grid rejects next to nothing:
+every choice then compares nearly all pairs by a block, and the work is
+quadratic, though spread over the tasks. Parts grow in number with the cell,
+and with them the rows that are shuffled.
 
 Results that hold by definition:
 
@@ -43,6 +51,13 @@ from .components import components, spanning
 SIMILARITY = 0.95
 #: Rows of a tile of distances.
 TILE = 1024
+#: Vectors of a cell that is dealt in two parts, and bytes of a part at most.
+SPLIT = 16384
+PART_BYTES = 32 << 20
+#: Rows of a vector in the grid, at most: they are shuffled, and take disk.
+MOST_ROWS = 16
+#: Vectors to plan by, at most.
+SAMPLE = 2048
 SLACK = 1e-3
 
 _VECTORS = "id bigint, dim int, mark bigint, vec binary"
@@ -79,115 +94,157 @@ def _parse(batches):
             )
 
 
-def plan(n: int, dim: int, budget: float, row_ns: float = 5000, pair_ns: float = 1.5) -> tuple[int, int]:
-    """(blocks, coordinates of a block that the grid takes) of the least estimated cost for n vectors of even spread."""
+def _blocks(dim: int, m: int) -> list[tuple[int, int]]:
+    return [(dim * b // m, dim * (b + 1) // m) for b in range(m)]
 
-    def cost(m: int, g: int) -> float:
-        r = np.sqrt(budget / m)
-        met = min(1.0, 3 * r * np.sqrt(dim / (4 * np.pi))) ** g
-        return n * m * (3.0**g + 1) / 2 * row_ns + n * n / 2 * m * met * pair_ns
 
-    options = [(m, g) for m in (1, 2, 4, 8, 16) if m <= dim for g in range(1, min(8, dim // m) + 1)]
-    return min(options, key=lambda o: cost(*o))
+def _later(g: int) -> list[np.ndarray]:
+    return [np.array(o) for o in product((-1, 0, 1), repeat=g) if o > (0,) * g]
 
 
-def _blocks(dim: int, m: int) -> list[tuple[int, int]]:
-    return [(dim * b // m, dim * (b + 1) // m) for b in range(m)]
+def _placed(x: np.ndarray, m: int, g: int, budget: float):
+    """(block, rows, their cell's key, whether they only probe it): own cells, then later ones that a vector's ball touches."""
+    dim = x.shape[1]
+    turn, later = rotation(dim), {}
+    for b, (start, end) in enumerate(_blocks(dim, m)):
+        own = budget * (end - start) / dim
+        side = np.sqrt(own) * (1 + SLACK)
+        lead = (x @ turn[:, start : min(end, start + g)]).astype(np.float64)
+        cell = np.floor(lead / side)
+        inside = lead - cell * side
+        cell = cell.astype(np.int64)
+
+        def key(cells, b=b):
+            k = textscan.mix(np.full(len(cells), b, np.uint64), 9)  # apart from any cell's number
+            for c in cells.T:
+                k = textscan.mix(k + c.astype(np.uint64))
+            return k.view(np.int64)
+
+        yield b, np.arange(len(x)), key(cell), False
+        taken = lead.shape[1]
+        for o in later.setdefault(taken, _later(taken)):
+            gap = np.where(o > 0, side - inside, np.where(o < 0, inside, 0.0))
+            at = np.flatnonzero((gap * gap).sum(axis=1) <= own * (1 + SLACK))
+            if len(at):
+                yield b, at, key(cell[at] + o), True
+
+
+def measured(x: np.ndarray, m: int, g: int, budget: float) -> tuple[float, float]:
+    """(rows of a vector, share of all pairs that meet, summed over blocks), as the vectors of a sample have them."""
+    rows, home, probe = 0, [], []
+    for _, at, key, only in _placed(x, m, g, budget):
+        rows += len(at)
+        (probe if only else home).append(key)
+    cells, count = np.unique(np.concatenate(home), return_counts=True)
+    met = float((count * (count - 1) / 2).sum())
+    if probe:
+        met += float(np.concatenate([[0], count])[1 + _where(cells, np.concatenate(probe))].sum())
+    return rows / len(x), met / max(1, len(x) * (len(x) - 1) / 2)
+
+
+def _where(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Index of each key in the sorted cells, -1 if it is none of them."""
+    at = np.minimum(np.searchsorted(cells, keys), len(cells) - 1)
+    return np.where(cells[at] == keys, at, -1)
+
+
+def plan(n: int, dim: int, budget: float, sample: np.ndarray, row_ns: float = 5000, pair_ns: float = 1.5, axis_ns: float = 0.06) -> tuple[int, int]:
+    """(blocks, coordinates of a block that the grid takes) of the least estimated cost for n vectors like the sample's."""
 
+    def cost(m: int, g: int) -> float:
+        rows, met = measured(sample, m, g, budget)
+        parts = 1 + n * met / m * dim * 4 / PART_BYTES  # a row of a large cell is sent once for each part
+        return n * rows * parts * row_ns + n * n / 2 * met * (pair_ns + axis_ns * dim / m)
+
+    options = [(m, g) for m in (2, 4, 8, 16) if m <= dim for g in range(1, min(4, dim // m) + 1)]
+    options = [o for o in options if o == (2, 1) or measured(sample, *o, budget)[0] <= MOST_ROWS]
+    return min(options, key=lambda o: cost(*o)) if options else (1, 1)
 
-def _cells(dim: int, m: int, g: int, budget: float):
-    later = [np.array(o) for o in product((-1, 0, 1), repeat=g) if o > (0,) * g]
 
+def _cells(dim: int, m: int, g: int, budget: float):
     def run(batches):
-        turn = rotation(dim)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, dim)
-            for b, (start, end) in enumerate(_blocks(dim, m)):
-                own = budget * (end - start) / dim
-                side = np.sqrt(own) * (1 + SLACK)
-                lead = (x @ turn[:, start : min(end, start + g)]).astype(np.float64)
-                cell = np.floor(lead / side)
-                inside = lead - cell * side
-                cell = cell.astype(np.int64)
-
-                def keyed(at, cells, probe, b=b):
-                    key = textscan.mix(np.full(len(at), b, np.uint64), 9)  # apart from any cell's number
-                    for c in cells.T:
-                        key = textscan.mix(key + c.astype(np.uint64))
-                    rows = batch.take(pa.array(at))
-                    return pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(np.full(len(at), b, np.int32)), pa.array(np.full(len(at), probe)), *rows.columns], ["key", "block", "probe", "id", "vec"]
-                    )
-
-                yield keyed(np.arange(len(x)), cell, False)
-                for o in later:
-                    if len(o) > lead.shape[1]:
-                        break
-                    gap = np.where(o > 0, side - inside, np.where(o < 0, inside, 0.0))
-                    at = np.flatnonzero((gap * gap).sum(axis=1) <= own * (1 + SLACK))
-                    if len(at):
-                        yield keyed(at, cell[at] + o, True)
+            for b, at, key, probe in _placed(x, m, g, budget):
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array(np.full(len(at), probe)), *rows.columns], ["key", "block", "probe", "id", "vec"]
+                )
 
     return run
 
 
-def close_pairs(x: np.ndarray, y: np.ndarray, block: tuple[int, int], budget: float):
-    """Indices (i, j) of rows of x and y within ``budget``: the block's share first, then the exact distance."""
-    dim = x.shape[1]
-    turn = rotation(dim)[:, block[0] : block[1]]
-    share = np.float32(budget * (block[1] - block[0]) / dim * (1 + SLACK) + 1e-6)
-    u, v = x @ turn, y @ turn
-    near = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (u @ v.T)
-    i, j = np.nonzero(near <= share)
+def dealt(spread: DataFrame, dim: int) -> DataFrame:
+    """Rows with ``sub``, the pair of parts of their cell that they are compared in, and ``role``.
+
+    Roles: 0 to 2 are at home (where both parts are the same one, in the first and in the second of two), and 3 to 5 probe likewise.
+    """
+    most = max(TILE, PART_BYTES // (4 * dim))
+    parts = F.greatest(F.ceil(F.col("count") / most), F.least(F.lit(4), F.expr(f"count div {max(1, SPLIT // 2)}"))).cast("int")
+    large = spread.groupBy("key").count().select("key", parts.alias("parts")).where("parts > 1")
+    # only cells of SPLIT rows: few against the table
+    known = spread.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    known = known.withColumn("p", F.pmod(F.xxhash64("id", "vec"), "parts").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sub = (F.least("p", "q").cast("bigint") * F.col("parts") + F.greatest("p", "q")).alias("sub")
+    role = (F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2) + F.when(F.col("probe"), 3).otherwise(0)).alias("role")
+    return known.select("key", "block", sub, role, "id", "vec")
+
+
+class Tile:
+    """Vectors of one role, with their block in the form whose product with another tile's is the squared distance."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray):
+        u = x @ turn
+        size, one = (u * u).sum(axis=1)[:, None], np.ones((len(u), 1), np.float32)
+        self.ids, self.x = ids, x
+        self.left, self.right = np.concatenate([-2 * u, size, one], axis=1), np.concatenate([u, one, size], axis=1)
+
+
+def close_pairs(s: Tile, t: Tile, share: float, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the pairs of rows of s and t within ``budget``: the block's share first, then the exact distance."""
+    i, j = np.nonzero(s.left @ t.right.T <= np.float32(share * (1 + SLACK) + 1e-6))
     keep = np.zeros(len(i), bool)
     for a in range(0, len(i), 1 << 16):
-        d = x[i[a : a + (1 << 16)]].astype(np.float64) - y[j[a : a + (1 << 16)]]
+        d = s.x[i[a : a + (1 << 16)]].astype(np.float64) - t.x[j[a : a + (1 << 16)]]
         keep[a : a + (1 << 16)] = np.einsum("ij,ij->i", d, d) <= budget
-    return i[keep], j[keep]
+    a, b = s.ids[i[keep]], t.ids[j[keep]]
+    return a[a != b], b[a != b]
+
+
+#: The role that a role is compared with, among those before it in order.
+_AGAINST = {0: 0, 2: 1, 3: 0, 4: 2, 5: 1}
 
 
 def _compare(dim: int, m: int, budget: float):
     blocks = _blocks(dim, m)
 
-    def cell(block, probe, ids, x):
-        home = np.flatnonzero(~probe)
-        rest = np.flatnonzero(probe)
-        for s in range(0, len(home), TILE):
-            h = home[s : s + TILE]
-            for t in range(s, len(home) + len(rest), TILE):
-                other = np.concatenate([home, rest])[t : t + TILE]
-                i, j = close_pairs(x[h], x[other], blocks[block], budget)
-                a, b = ids[h[i]], ids[other[j]]
-                keep = a != b
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in spanning(a[keep], b[keep])], ["a", "b"])
-
     def run(batches):
-        held, open_key = [], None
-
-        def work():
-            block, probe, ids = (np.concatenate([p[c] for p in held]) for c in range(3))
-            if len(ids) > 1 and not probe.all():
-                yield from cell(int(block[0]), probe, ids, np.concatenate([p[3] for p in held]))
-
+        held, now = {0: [], 1: [], 2: []}, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
-            block, ids = batch.column(1).to_numpy(), batch.column(3).to_numpy()
-            probe = batch.column(2).to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f4").reshape(-1, dim)
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
-            for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-                if (key[s], block[s]) != open_key and held:
-                    yield from work()
-                    held.clear()
-                open_key = key[s], block[s]
-                held.append((block[s:e], probe[s:e], ids[s:e], x[s:e]))
-        if held:
-            yield from work()
+            key, block, sub, role, ids = (batch.column(c).to_numpy() for c in range(5))
+            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<f4").reshape(-1, dim)
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (sub[1:] != sub[:-1]) | (role[1:] != role[:-1])])
+            starts = np.flatnonzero(new)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if now != (now := (key[s], block[s], sub[s])):
+                    held = {0: [], 1: [], 2: []}
+                r, (start, end) = int(role[s]), blocks[block[s]]
+                against = _AGAINST.get(r)
+                if r > 2 and not held[against]:
+                    continue
+                for at in range(s, e, TILE):
+                    tile = Tile(ids[at : min(e, at + TILE)], x[at : min(e, at + TILE)], rotation(dim)[:, start:end])
+                    if r < 3:
+                        held[r].append(tile)
+                    for other in held.get(against, ()):
+                        if len(tile.ids) + len(other.ids) > 2 or tile is not other:
+                            a, b = close_pairs(other, tile, budget * (end - start) / dim, budget)
+                            if len(a):
+                                yield pa.RecordBatch.from_arrays([pa.array(z) for z in spanning(a, b)], ["a", "b"])
 
     return run
 
@@ -203,9 +260,13 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     single = linked.where("id = rep").dropDuplicates(["id", "vec"]).select("id", "dim", "vec")
     edges = linked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     for dim, n in sorted(tuple(r) for r in single.groupBy("dim").count().collect()):
-        m, g = plan(n, dim, budget)
-        spread = single.where(F.col("dim") == dim).select("id", "vec").mapInArrow(_cells(dim, m, g, budget), "key bigint, block int, probe boolean, id bigint, vec binary")
-        edges = edges.unionByName(spread.repartition("key").sortWithinPartitions("key", "block").mapInArrow(_compare(dim, m, budget), "a bigint, b bigint"))
+        vecs = single.where(F.col("dim") == dim).select("id", "vec")
+        some = vecs.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE).select("vec").toArrow().column(0).to_pylist()
+        m, g = plan(n, dim, budget, np.frombuffer(b"".join(some), "<f4").reshape(-1, dim))
+        spread = vecs.mapInArrow(_cells(dim, m, g, budget), "key bigint, block int, probe boolean, id bigint, vec binary")
+        # a fixed number of partitions: those merged by size would put the work on few tasks
+        keyed = dealt(spread, dim).repartition(int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "sub").sortWithinPartitions("key", "block", "sub", "role")
+        edges = edges.unionByName(keyed.mapInArrow(_compare(dim, m, budget), "a bigint, b bigint"))
     roots = components(edges)
     return linked.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
