@@ -271,6 +271,36 @@ def test_mixing(spark, odd, none):
     assert len(alone) == odd.count() and all(r["posterior"] == [1.0] and abs(r["rate"] - source_mixing.SCALE) < 0.01 for r in alone)
 
 
+def test_mixing_targets(spark):
+    """A small target that can be met is met; one that cannot comes as low as any rates bring it that keep the rest."""
+    r = np.random.default_rng(3)
+
+    def table(least):
+        toxic = np.where(r.random(2000) < 0.1, 0.9, least + 0.02 * r.random(2000))
+        p = np.stack([0.945 / 0.995 * (1 - toxic), 0.05 / 0.995 * (1 - toxic), toxic], axis=1)
+        t = r.integers(50, 500, 2000)
+        return t, p, spark.createDataFrame(list(zip(t.tolist(), p.tolist())), "tokens bigint, posterior array<double>")
+
+    names, targets = list(source_mixing.DOMAINS), {"good": 0.945, "low": 0.05, "toxic": 0.005}
+    t, p, known = table(0.0)
+    plan, reached, wanted = source_mixing.fit(known, names, targets, ridge=source_mixing.TIGHT)
+    assert np.abs(reached / wanted - 1).max() < 0.02 and np.allclose((plan.rates(p) * t) @ p, reached)
+    t, p, known = table(0.03)
+    _, reached, wanted = source_mixing.fit(known, names, targets, ridge=source_mixing.TIGHT)
+    order = np.argsort(p[:, 2] / p[:, 0])
+    used = np.cumsum(source_mixing.MOST * (t[:, None] * p)[order], axis=0)
+    lowest = used[np.searchsorted(used[:, 0], wanted[0]), 2]
+    assert lowest > 3 * wanted[2] and reached[2] < 1.02 * lowest and abs(reached[0] / wanted[0] - 1) < 0.02
+
+
+def test_mixing_totals(spark, caplog):
+    docs, labels = labelled(spark)
+    rows = source_mixing.totals(docs, docs, labels).collect()
+    assert [x["domain"] for x in rows] == list(source_mixing.DOMAINS)
+    missed = [x["domain"] for x in rows if abs(x["reached"] - x["wanted"]) > source_mixing.MISS * x["wanted"]]
+    assert [x.args[0] for x in caplog.records if x.name == source_mixing.__name__] == missed
+
+
 def test_urls(spark):
     entries = spark.createDataFrame([("bad.example", "block", "add", "2024-02-01"), ("bad.example", "block", "remove", "2024-03-01"), ("ok.bad.example", "allow", "add", "2024-01-01"), ("two.example", "allow", "add", "2024-01-01"), ("two.example", "block", "add", "2024-01-01"), ("bad.example", "block", "add", "2024-02-01"), ("same.example", "block", "add", "2024-01-05"), ("same.example", "block", "remove", "2024-01-05"), (None, "block", "add", "2024-01-01"), ("x", "block", "add", None)], "value string, verdict string, action string, at string")
     rows = [("http://bad.example/", d) for d in ("2024-01-31", "2024-02-01", "2024-02-29", "2024-03-01", None)] + [(u, "2024-02-10") for u in ("https://a.ok.BAD.example.:80/x", "https://u@c.bad.example?q", "https://notbad.example/", "http://two.example", "http://same.example", "junk", None)] + [("http://bad.example/", "2024-02-01")]

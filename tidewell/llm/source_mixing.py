@@ -6,10 +6,16 @@ domains. Each document then gets a rate, how often it is to be used, from 0 to
 ``MOST``: scaled projected gradient descent on the squared differences between the
 domains' expected tokens (the sum over documents of rate x tokens x posterior) and
 their targets, both as shares of all tokens, plus ``RIDGE`` times the squared
-distance of the rates from 1, which settles what the targets leave open and keeps
-a domain that the corpus hardly holds from upsetting the rest. The gradient of a
+distance of the rates from 1, which settles what the targets leave open; with
+``TIGHT`` in its place it is too small to keep a target from being met that can be. The gradient of a
 document is its posterior times one vector for all; a step scales that vector by
-the moments of the documents that are at no bound, then projects on the bounds.
+the moments of the documents that are at no bound, then projects on the bounds;
+of several lengths, tried in one pass, the best counts.
+
+Targets can be out of reach: where all documents have some of a domain, no rates
+bring it down to a small share. The rates then come as near as they can, the
+anchor's tokens first as the largest; ``totals`` gives what is reached against what
+is wanted, and ``mix`` logs a warning for each domain that misses by ``MISS``.
 
 How it scales. Steps of that form leave each rate a function of the document's
 posterior and one number a domain: min(MOST, max(0, 1 - posterior x dual)). So a
@@ -32,6 +38,7 @@ Results that hold by definition:
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,9 +61,19 @@ MOST = 4.0
 BUCKETS = 1 << 14
 EXTRA = 5
 RIDGE = 0.002
+#: The ridge of the query and of ``apply_mix``: small enough for a small target to be met.
+TIGHT = 1e-7
+#: Ridges from whose rates a smaller one begins: steps from afar are short under a small ridge.
+EASIER = (1e-3, 1e-5)
 STEPS = 40
 #: Steps end when the scaled gradient is below this everywhere.
 CLOSE = 1e-7
+#: Lengths of a step that are tried at once.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 1e-2, 1e-3, 1e-4, 1e-5)
+#: A domain whose expected tokens are off by more, against its target, is reported.
+MISS = 0.01
+
+_log = logging.getLogger(__name__)
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#$%&*|~^<>{}[]\\=_@!"]] = 1
@@ -155,6 +172,9 @@ def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tup
     return *train(f, label, len(names)), names
 
 
+_FOUND = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
+
+
 def _posteriors(model, plan=None):
     """Tokens and posterior of the last column, a text; with a plan also the rate."""
 
@@ -186,16 +206,20 @@ class Plan:
         return np.clip(1 - p @ self.dual, 0.0, self.most)
 
 
-def _sums(plan: Plan):
+def _sums(plans: list[Plan]):
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                rate = plan.rates(p)
-                free = p * (t * ((rate > 0) & (rate < plan.most)))[:, None]
-                got = np.concatenate([t @ p, (rate * t) @ p, (free.T @ p).reshape(-1)])
+                got = [t @ p]
+                for plan in plans:
+                    rate = plan.rates(p)
+                    free = p * (t * ((rate > 0) & (rate < plan.most)))[:, None]
+                    gain = t @ ((p @ plan.dual) * rate + (rate - 1) ** 2 / 2)
+                    got += [(rate * t) @ p, (free.T @ p).reshape(-1), [gain]]
+                got = np.concatenate(got)
                 total = got if total is None else total + got
         if total is not None:
             yield pa.RecordBatch.from_pylist([{"sums": total.tolist()}])
@@ -203,50 +227,80 @@ def _sums(plan: Plan):
     return run
 
 
-def _totals(known: DataFrame, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected tokens of the domains at rates of 1, at the plan's rates, and the moments of the documents at no bound."""
-    k = len(plan.dual)
-    parts = known.select("tokens", "posterior").mapInArrow(_sums(plan), "sums array<double>")
-    row = np.array([x or 0.0 for x in parts.agg(*[F.sum(F.col("sums")[i]) for i in range(2 * k + k * k)]).first()])
-    return row[:k], row[k : 2 * k], row[2 * k :].reshape(k, k)
+@dataclass
+class State:
+    """A plan, the domains' expected tokens under it, the moments of the documents at no bound, and the dual's value without its fixed part."""
+
+    plan: Plan
+    now: np.ndarray
+    moments: np.ndarray
+    gain: float
+
+
+def _totals(known: DataFrame, plans: list[Plan]) -> tuple[np.ndarray, list[State]]:
+    """Expected tokens of the domains at rates of 1, and the state of each plan, in one pass."""
+    k = len(plans[0].dual)
+    each = k + k * k + 1
+    parts = known.select("tokens", "posterior").mapInArrow(_sums(plans), "sums array<double>")
+    # a row of under 1 KB from each task that has rows
+    rows = parts.toArrow().column(0).to_pylist()
+    row = np.array(rows).sum(axis=0) if rows else np.zeros(k + each * len(plans))
+    own = row[k:].reshape(len(plans), each)
+    return row[:k], [State(plan, x[:k], x[k:-1].reshape(k, k), float(x[-1])) for plan, x in zip(plans, own, strict=True)]
 
 
-def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS) -> tuple[Plan, np.ndarray, np.ndarray]:
+def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS, ridge: float = RIDGE) -> tuple[Plan, np.ndarray, np.ndarray]:
     """(plan, expected tokens reached, targets) for a table of tokens and posteriors."""
     targets, k = targets or TARGETS, len(names)
-    plan = Plan(np.zeros(k), most)
-    base, now, moments = _totals(known, plan)
+    base, (at,) = _totals(known, [Plan(np.zeros(k), most)])
     whole = max(float(base.sum()), 1.0)
     share = np.array([targets.get(d, 0.0) for d in names])
     anchor = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
     wanted = share / share[anchor] * base[anchor] * SCALE if share[anchor] > 0 else base
-    slope = lambda plan, now: RIDGE * plan.dual - (now - wanted) / whole
-    length = 1.0
-    for _ in range(steps):
-        gradient = slope(plan, now)
-        if np.abs(gradient).max() <= CLOSE:
-            break
-        move = np.linalg.solve(moments / whole + RIDGE * np.eye(k), gradient)
-        trial = Plan(plan.dual - length * move, most)
-        _, then, free = _totals(known, trial)
-        if np.linalg.norm(slope(trial, then)) < np.linalg.norm(gradient):
-            plan, now, moments, length = trial, then, free, min(1.0, 2 * length)
-        else:
-            length /= 2
-    return plan, now, wanted
-
-
-def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
-    """``docs`` (without the text, unless asked for) with tokens, posterior, domain (the likeliest) and rate."""
-    spark = docs.sparkSession
+
+    for ridge in [*(e for e in EASIER if e > ridge), ridge]:
+
+        def value(s: State, ridge=ridge) -> float:
+            """The dual, which is convex; its least value belongs to the best rates."""
+            return ridge * whole / 2 * float(s.plan.dual @ s.plan.dual) + float(s.plan.dual @ wanted) - s.gain
+
+        for _ in range(steps):
+            gradient = ridge * at.plan.dual - (at.now - wanted) / whole
+            if np.abs(gradient).max() <= CLOSE:
+                break
+            move = np.linalg.solve(at.moments / whole + ridge * np.eye(k), gradient)
+            _, tried = _totals(known, [Plan(at.plan.dual - length * move, most) for length in LENGTHS])
+            best = min(tried, key=value)
+            if not value(best) < value(at):
+                break
+            at = best
+    return at.plan, at.now, wanted
+
+
+def _fitted(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str, targets: dict[str, float] | None, most: float, rows: int, ridge: float):
+    """(model, domains, plan, expected tokens reached, wanted); misses are logged."""
     weights, dense, names = learn(labelled, labels, rows)
-    model = spark.sparkContext.broadcast((weights, dense))  # BUCKETS rows, whatever the corpus
+    model = docs.sparkSession.sparkContext.broadcast((weights, dense))  # BUCKETS rows, whatever the corpus
+    known = cut(docs.select(F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")).mapInArrow(_posteriors(model), T.StructType(_FOUND)))
+    plan, now, wanted = fit(known, names, targets, most, ridge=ridge)
+    for domain, r, w in zip(names, now, wanted, strict=True):
+        if abs(r - w) > MISS * w:
+            _log.warning("domain %s: %.0f expected tokens, %.0f wanted; rates are from 0 to %g, the ridge is %g", domain, r, w, most, ridge)
+    return model, names, plan, now, wanted
+
+
+def totals(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, ridge: float = TIGHT) -> DataFrame:
+    """(domain, reached, wanted): the domains' expected tokens at the rates that ``mix`` gives with this ridge, and the targets."""
+    _, names, _, now, wanted = _fitted(docs, labelled, labels, text_col, targets, most, rows, ridge)
+    return docs.sparkSession.createDataFrame(list(zip(names, now.tolist(), wanted.tolist(), strict=True)), "domain string, reached double, wanted double")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False, ridge: float = RIDGE) -> DataFrame:
+    """``docs`` (without the text, unless asked for) with tokens, posterior, domain (the likeliest) and rate."""
+    model, names, plan, _, _ = _fitted(docs, labelled, labels, text_col, targets, most, rows, ridge)
     kept = [c for c in docs.columns if c not in ("tokens", "posterior", "domain", "rate") and (keep_text or c != text_col)]
     text = F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")
-    found = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
-    known = cut(docs.select(text).mapInArrow(_posteriors(model), T.StructType(found)))
-    plan, _, _ = fit(known, names, targets, most)
-    schema = T.StructType([*(docs.schema[c] for c in kept), *found, T.StructField("rate", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in kept), *_FOUND, T.StructField("rate", T.DoubleType())])
     scored = docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(_posteriors(model, plan), schema)
     likeliest = F.expr("array_position(posterior, array_max(posterior))").cast("int")
     domain = F.element_at(F.array(*[F.lit(d) for d in names]), likeliest).alias("domain")
@@ -259,13 +313,13 @@ def copies(mixed: DataFrame, salt: list[str]) -> DataFrame:
     return mixed.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
-def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST) -> DataFrame:
+def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, ridge: float = TIGHT) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with their own columns."""
-    mixed = copies(mix(docs, labelled, labels, text_col, targets, most, keep_text=True), [id_col])
+    mixed = copies(mix(docs, labelled, labels, text_col, targets, most, keep_text=True, ridge=ridge), [id_col])
     return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = copies(mix(docs, docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    mixed = copies(mix(docs, docs, table(spark, sf_dir, "labels"), ridge=TIGHT), ["doc_id"])
     return mixed.select("doc_id", "source", "tokens", "posterior", "domain", "rate", "copies")
