@@ -33,3 +33,13 @@ def test_against_sql(spark, name):
 @pytest.mark.skipif(not Path(D).exists(), reason="no tables here")
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
+
+
+def test_tags_of_any_hash(spark, tmp_path):
+    """Full-width and small hashes are hashes after NFKC."""
+    from tidewell.functions import text_rules
+
+    texts = ["see #plain now", "見て ＃猫 です", "see ﹟small now", "none here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["display"]) for r in entry.queries()["tags_in_texts"](spark, str(tmp_path)).collect())
+    assert got == [(0, "plain"), (1, "猫"), (2, "small")] and [len(text_rules.tags_in(t)) for t in texts[:4]] == [1, 1, 1, 0]

@@ -132,7 +132,7 @@ def sentiment_by_language(spark, d):
 
 def tags_in_texts(spark, d):
     """No SQL: the rules need Unicode normal forms and look behind, which DuckDB's functions and RE2 lack."""
-    found = _table(spark, d, "documents").where(F.col("text").contains("#")).select("doc_id", F.explode(text_rules.tags_in_udf("text")).alias("t"))
+    found = _table(spark, d, "documents").where(F.col("text").rlike("[#\\uFF03\\uFE5F]")).select("doc_id", F.explode(text_rules.tags_in_udf("text")).alias("t"))
     return found.select("doc_id", text_rules.tag_udf("t").alias("x")).select("doc_id", "x.tag", "x.display", "x.reason")
 
 
