@@ -8,6 +8,10 @@ call and taken apart again by the byte lengths of its tokens.
 
 That holds for blank, tab, CR and LF as white space. Texts that hold other
 white space or control characters are encoded whole.
+
+Units and chunks are found again by 64-bit hashes of their bytes, and different
+bytes may have one hash. So ``ChunkEncoder`` compares what its tokens stand for
+with the bytes that it was given, and encodes whole each text that differs.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ _SPACE[[9, 10, 13, 32]] = True
 _ODD = np.zeros(256, bool)  # control bytes, and first bytes of characters that may be white space
 _ODD[:9] = _ODD[11:13] = _ODD[14:32] = True
 _ODD[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: Second (and third) bytes of the white space among those.
-_ODD_NEXT = {0xC2: (0x85, 0xA0), 0xE1: (0x9A,), 0xE2: (0x80, 0x81), 0xE3: (0x80,)}
+#: UTF-8 of the other white space: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000.
+_WIDE_SPACE = np.unique([int.from_bytes(chr(c).encode().rjust(3, b"\0"), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
 class Codec:
@@ -55,7 +59,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
-        return self.bytes[flat(self.starts[ids], self.lengths[ids])].tobytes()
+        return self.bytes[textscan.flat(self.starts[ids], self.lengths[ids])].tobytes()
 
 
 _codecs: dict[str, Codec] = {}
@@ -68,13 +72,6 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each start and its length."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where units begin: at each text, and at white space after anything else."""
     n = len(data)
@@ -90,11 +87,9 @@ def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Which texts hold white space or control characters beyond blank, tab, CR and LF."""
     at = np.flatnonzero(_ODD[data])
     if len(at):
-        first, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
-        odd = first < 0x80
-        for lead, nexts in _ODD_NEXT.items():
-            odd |= (first == lead) & np.isin(second, nexts)
-        at = at[odd]
+        first, second, third = (data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(3))
+        code = np.where(first == 0xC2, (first << 8) | second, (first << 16) | (second << 8) | third)
+        at = at[(first < 0x80) | np.isin(code, _WIDE_SPACE)]
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, at, side="right") - 1] = True
     return out
@@ -128,7 +123,7 @@ def encode_spans(bpe: Codec, data: np.ndarray, starts: np.ndarray, ends: np.ndar
     at = np.cumsum(size) - size
     raw = np.empty(int(size.sum()), np.uint8)
     raw[at[bare]] = 10
-    raw[flat(at + bare, lengths)] = data[flat(starts, lengths)]
+    raw[textscan.flat(at + bare, lengths)] = data[textscan.flat(starts, lengths)]
     ids = bpe.encode(raw.tobytes())
     ends_at = np.cumsum(bpe.lengths[ids])
     cut = np.searchsorted(ends_at, at + size, side="left") + 1
@@ -144,7 +139,7 @@ def encode_spans(bpe: Codec, data: np.ndarray, starts: np.ndarray, ends: np.ndar
 
 
 class UnitEncoder:
-    """Encodes batches; units seen before in this process come from a pool."""
+    """Encodes batches without odd texts; units seen before in this process come from a pool."""
 
     #: Units that the pool holds at most (about 40 bytes each); beyond, it starts afresh.
     POOL = 1_500_000
@@ -164,9 +159,6 @@ class UnitEncoder:
         """Tokens of the texts ``data[offsets[i]:offsets[i + 1]]``, and n + 1 offsets into them."""
         data = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        odd = odd_texts(data, offsets)
-        if odd.any():
-            return splice_odd(self, data, offsets, odd)
         if not len(data):
             return np.zeros(0, self.bpe.dtype), np.zeros(len(offsets), np.int64)
         starts = unit_starts(data, offsets)
@@ -190,7 +182,7 @@ class UnitEncoder:
             self.used += len(ids)
             at = np.searchsorted(self.known, unique)
         start, length = self.start[at][inverse], self.length[at][inverse]
-        tokens = self.pool[flat(start, length)]
+        tokens = self.pool[textscan.flat(start, length)]
         total = np.concatenate([[0], np.cumsum(length)])
         return tokens, total[np.searchsorted(starts, offsets)]
 
@@ -216,6 +208,8 @@ class ChunkEncoder:
         self.bpe = bpe
         self.units = UnitEncoder(bpe)
         self.encoded = self.reused = 0
+        #: Of each text encoded last: whether its tokens stand for its bytes.
+        self.exact = np.zeros(0, bool)
         self.clear()
 
     def clear(self) -> None:
@@ -246,7 +240,7 @@ class ChunkEncoder:
         if new.any():
             w = where[new]
             lengths = ends[w] - starts[w]
-            ids, cuts = self.units.encode(data[flat(starts[w], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+            ids, cuts = self.units.encode(data[textscan.flat(starts[w], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
             if self.used + len(ids) > self.POOL and self.used:
                 self.clear()
                 return self._chunks(data, starts, ends, hashes)
@@ -260,18 +254,33 @@ class ChunkEncoder:
             at = np.searchsorted(self.known, unique)
         self.encoded += int(new.sum())
         self.reused += len(starts) - int(new.sum())
-        return self.pool[flat(self.start[at][inverse], self.length[at][inverse])]
+        return self.pool[textscan.flat(self.start[at][inverse], self.length[at][inverse])]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of the texts ``data[offsets[i]:offsets[i + 1]]``, and n + 1 offsets into them."""
+        """Tokens of the texts ``data[offsets[i]:offsets[i + 1]]``, exactly the tokenizer's, and n + 1 offsets into them."""
         data = data[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        n = len(data)
-        if not n:
+        if not len(data):
+            self.exact = np.ones(len(offsets) - 1, bool)
             return np.zeros(0, self.bpe.dtype), np.zeros(len(offsets), np.int64)
         odd = odd_texts(data, offsets)
         if odd.any():
-            return splice_odd(self, data, offsets, odd)
+            lengths = np.where(odd, 0, np.diff(offsets))
+            own, edges = data[textscan.flat(offsets[:-1], lengths)], np.concatenate([[0], np.cumsum(lengths)])
+        else:
+            own, edges = data, offsets
+        tokens, cuts = self._joined(own, edges) if len(own) else (np.zeros(0, self.bpe.dtype), np.zeros(len(offsets), np.int64))
+        whole = odd | differing(self.bpe, tokens, cuts, own, edges)
+        self.exact = np.ones(len(whole), bool)
+        if whole.any():
+            tokens, cuts = spliced(self.bpe, tokens, cuts, data, offsets, whole)
+            for i in np.flatnonzero(whole):
+                self.exact[i] = self.bpe.decode(tokens[cuts[i] : cuts[i + 1]]) == data[offsets[i] : offsets[i + 1]].tobytes()
+        return tokens, cuts
+
+    def _joined(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by chunks and repaired joins, right where no two chunks or units have one hash."""
+        n = len(data)
         hashes = SpanHash(data)
         chunks = self.chunk_starts(data, offsets, hashes)
         tokens = self._chunks(data, chunks, np.append(chunks[1:], n), hashes)
@@ -282,7 +291,7 @@ class ChunkEncoder:
         torn = np.unique(place[units[place] != chunks])
         if len(torn):
             u, v = units[torn - 1], units[torn]
-            again, cuts = self.units.encode(data[flat(u, v - u)], np.concatenate([[0], np.cumsum(v - u)]))
+            again, cuts = self.units.encode(data[textscan.flat(u, v - u)], np.concatenate([[0], np.cumsum(v - u)]))
             i, j = np.searchsorted(begins, u), np.searchsorted(begins, v)
             agree = (begins[np.minimum(i, len(begins) - 1)] == u) & ((v == n) | (begins[np.minimum(j, len(begins) - 1)] == v))
             if not agree.all():
@@ -293,22 +302,34 @@ class ChunkEncoder:
             sizes = np.empty_like(starts)
             starts[0::2], sizes[0::2] = keep_from, keep_to - keep_from
             starts[1::2], sizes[1::2] = cuts[:-1] + len(tokens), np.diff(cuts)
-            tokens = np.concatenate([tokens, again])[flat(starts, sizes)]
+            if (sizes < 0).any():
+                return self.units.encode(data, offsets)
+            tokens = np.concatenate([tokens, again])[textscan.flat(starts, sizes)]
             ends = np.cumsum(self.bpe.lengths[tokens])
         return tokens, np.searchsorted(ends, offsets, side="right")
 
 
-def splice_odd(encoder, data: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The encoder's tokens, with the odd texts encoded whole."""
-    lengths = np.where(odd, 0, np.diff(offsets))
-    ids, cuts = encoder.encode(data[flat(offsets[:-1], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
-    parts, sizes = [], np.diff(cuts)
-    for i in range(len(odd)):
-        if odd[i]:
-            parts.append(encoder.bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes()))
-            sizes[i] = len(parts[-1])
-        else:
-            parts.append(ids[cuts[i] : cuts[i + 1]])
+def differing(bpe: Codec, tokens: np.ndarray, cuts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts the tokens don't give back, byte for byte."""
+    ends = np.concatenate([[0], np.cumsum(bpe.lengths[tokens])])
+    got = np.diff(ends[cuts]) != np.diff(offsets)
+    if got.any():  # lengths differ: each text is compared by itself
+        for i in np.flatnonzero(~got):
+            got[i] = bpe.decode(tokens[cuts[i] : cuts[i + 1]]) != data[offsets[i] : offsets[i + 1]].tobytes()
+        return got
+    wrong = np.flatnonzero(np.frombuffer(bpe.decode(tokens), np.uint8) != data)
+    got[np.searchsorted(offsets, wrong, side="right") - 1] = True
+    return got
+
+
+def spliced(bpe: Codec, tokens: np.ndarray, cuts: np.ndarray, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens, with those texts encoded whole that ``whole`` marks."""
+    parts, sizes, at = [], np.diff(cuts), 0
+    for i in np.flatnonzero(whole):
+        parts.append(tokens[cuts[at] : cuts[i]])
+        parts.append(bpe.encode(data[offsets[i] : offsets[i + 1]].tobytes()))
+        sizes[i], at = len(parts[-1]), i + 1
+    parts.append(tokens[cuts[at] :])
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 

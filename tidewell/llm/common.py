@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, else (in tests) one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, may do without and gets one of its own."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if have:
         return have
@@ -25,11 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     context.setCheckpointDir(own)
     return own
 
 
+def col(name: str):
+    """A column by its plain name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(names: list[str]) -> list:
+    """Columns under plain names of our own, as functions over Arrow batches need them; ``renamed`` gives them back."""
+    return [col(c).alias(f"{OWN}c{i}") for i, c in enumerate(names)]
+
+
+def renamed(names: list[str]) -> list:
+    return [F.col(f"{OWN}c{i}").alias(c) for i, c in enumerate(names)]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that a lost executor costs a reread and no recomputation."""
     spark = df.sparkSession
@@ -38,10 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under our own names, of the rows that have both."""
     return docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id"), F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")
+        col(id_col).cast("bigint").alias(f"{OWN}id"), col(text_col).cast("string").alias(f"{OWN}text")
     ).where(f"{OWN}id is not null and {OWN}text is not null")
 
 

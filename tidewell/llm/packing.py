@@ -16,7 +16,8 @@ Results that hold by definition:
 
 * null texts and null ids are left out; an empty text is one end id;
 * rows are documents each by itself: repeated rows are packed repeatedly;
-* segments of equal length are packed in the order in which they were read;
+* ties: segments of equal length are packed in the order in which they were read;
+* a text longer than a shard is a shard of its own;
 * room that is left holds end ids, beyond the last of ``cu_seqlens``;
 * other columns are never read; an empty table gives an empty table.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, textscan
 from .bpe_codec import VOCABULARY
-from .common import table, tokenizer_path
+from .common import col, table, tokenizer_path
 
 #: Ids of a packed row.
 ROW = 2048
@@ -111,9 +112,9 @@ def pack(tokens: np.ndarray, lengths: np.ndarray, ids: np.ndarray, row: int, fil
     offset = before - base[where]
     matrix = np.full((rows, row), fill, tokens.dtype)
     places = np.zeros((rows, row), "<u2" if row <= 1 << 16 else "<u4")
-    target = bpe.flat(where * row + offset, size)
-    matrix.reshape(-1)[target] = tokens[bpe.flat(source, size)]
-    places.reshape(-1)[target] = bpe.flat(np.zeros(len(size), np.int64), size)
+    target = textscan.flat(where * row + offset, size)
+    matrix.reshape(-1)[target] = tokens[textscan.flat(source, size)]
+    places.reshape(-1)[target] = textscan.flat(np.zeros(len(size), np.int64), size)
     used = np.add.reduceat(size, first[:-1]) if rows else np.zeros(0, np.int64)
     # cumulative lengths begin with 0: one more of them than segments
     marks = np.insert(offset + size, first[:-1], 0).astype(np.int32)
@@ -176,7 +177,7 @@ def _pack(path: str, row: int, shard_tokens: int):
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, vocabulary: str = VOCABULARY, folder: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Packed rows; ``ids`` and ``position_ids`` are little-endian unsigned integers, of 2 bytes where they fit."""
-    given = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    given = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
     return given.where("id is not null and text is not null").mapInArrow(_pack(tokenizer_path(vocabulary, folder), row, shard_tokens), SCHEMA)
 
 

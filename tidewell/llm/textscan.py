@@ -23,6 +23,8 @@ _FOLD[65:91] += 32
 
 #: Texts of one slice together; bounds the scratch arrays of a scan (about 60 bytes for each byte).
 SLICE_BYTES = 2 << 20
+#: Texts of one slice: their numbers take 20 bits at most.
+SLICE_TEXTS = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -65,12 +67,19 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start and its length."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """Ranges of whole texts, of about ``limit`` bytes each; a longer text is alone in its range."""
+    """Ranges of whole texts, of about ``limit`` bytes and at most ``SLICE_TEXTS`` texts each; a longer text is alone in its range."""
     n, at = len(offsets) - 1, 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        end = min(max(end, at + 1), n)
+        end = min(max(end, at + 1), at + SLICE_TEXTS, n)
         yield at, end
         at = end
 
