@@ -2,28 +2,38 @@
 
 A document's fingerprint is the 128-bit SimHash of its set of distinct words
 (case folded). Two documents are near copies when their fingerprints differ in
-at most ``DISTANCE`` bits; a group is a connected set of near copies, and its
-document with the least id stays.
+at most ``DISTANCE`` bits; a group (class) is a connected set of near copies,
+and its document with the least id stays.
 
 How it scales. Equal fingerprints collapse first in a partially aggregated
-group, so exact copies, however many, cost one row. The rest meet on blocks:
-of ``DISTANCE + r`` blocks any close pair shares at least r, so joining on all
-r-subsets misses nothing. ``plan`` picks r from the number of fingerprints: a
-small corpus takes single blocks (few rows, many chance meetings), a large one
-subsets of blocks (more rows, longer keys). The result is the same for any r.
-Pairs of a block are compared in numpy, and a block returns edges that connect
-its close documents, not all pairs of them.
+group, so exact copies, however many, cost one row. The rest are split into
+blocks of bits. Of m blocks, with budgets that add up to ``DISTANCE`` - m + 1,
+any close pair has a block in which it differs by that block's budget at most:
+with 21 blocks all budgets are 0 and the pair shares a block, with fewer blocks
+a fingerprint also probes the values near its own. ``plan`` picks m from the
+number of fingerprints: few rows and many chance meetings for a small corpus,
+more rows and wide blocks for a large one. The result is the same for any m.
+
+A block's value is a key of an ordinary shuffle; keys with many fingerprints are
+dealt to several tasks (``cells``). Candidates are verified by their Hamming
+distance, and a pair counts in the first block that it shares, so each link
+is counted once however often it is met. A task returns edges that connect its
+close fingerprints and each one's number of links, not all pairs.
 
 Results that hold by definition:
 
 * a text of fewer than ``LEAST_WORDS`` distinct words has too few features; it
   equals only texts with the same words in the same order (case folded), and
   texts without words equal each other;
-* a null text or a null id is never compared and always stays;
-* rows that repeat an id are one document: one row stays (that of the least
-  text hash, where they differ);
+* a null text or a null id is never compared: it is its own class, has no links
+  and stays;
+* rows that repeat an id are one document, a member of the classes of all its
+  texts: one row stays (that of the least text hash, where they differ; any of
+  those that are equal);
 * ties cannot occur, as ids are distinct after that;
-* other columns pass through unread; an empty table gives an empty table.
+* very long texts are read whole, each as a slice of its own;
+* other columns pass through unread, whatever their names; an empty table gives
+  an empty table.
 """
 
 from __future__ import annotations
@@ -36,17 +46,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textscan
-from .common import OWN, cut, identified, table
-from .components import components
+from . import cells, textscan
+from .common import OWN, col, cut, identified, table
+from .components import components, spanning
 
 BITS = 128
 #: Most bits in which near copies differ.
 DISTANCE = 20
 #: Texts of fewer distinct words are compared as wholes.
 LEAST_WORDS = 8
-#: Cells of a matrix of distances that are worked on together.
-CELLS = 1 << 18
+#: Fingerprints of a tile of distances.
+TILE = 512
+#: Fingerprints of a key that is dealt in parts, and of a part.
+PART = 1 << 16
 
 _FINGERPRINTS = f"{OWN}id bigint, {OWN}hi bigint, {OWN}lo bigint"
 
@@ -60,7 +72,6 @@ def fingerprints(words: textscan.Words) -> tuple[np.ndarray, np.ndarray]:
     doc = words.doc.astype(np.uint64)
     low = np.uint64(44)
     mask = np.uint64((1 << 44) - 1)
-    assert n < 1 << 20
     keys = np.sort((doc << low) | (words.hashes >> np.uint64(20)))
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
     owner = (keys >> low).astype(np.int64)
@@ -103,148 +114,170 @@ def _fingerprint_batches(batches):
             )
 
 
-def plan(n: int, distance: int = DISTANCE, bits: int = BITS, row_ns: float = 1500, pair_ns: float = 6) -> int:
-    """How many blocks a key takes: the r of the least estimated cost for n distinct fingerprints."""
+def budgets(m: int, distance: int = DISTANCE) -> list[int]:
+    """Most bits in which a pair may differ in each of m blocks to meet there; within ``distance`` it meets in one at least."""
+    return [(distance + 1 - m) // m + (b < (distance + 1 - m) % m) for b in range(m)]
 
-    def cost(r: int) -> float:
-        keys = comb(distance + r, r)
-        return n * keys * row_ns + n * n / 2 * keys * 2.0 ** (-r * bits / (distance + r)) * pair_ns
 
-    return min(range(1, 5), key=cost)
+def blocks(m: int, bits: int = BITS) -> list[tuple[int, int]]:
+    return [(bits * j // m, bits * (j + 1) // m) for j in range(m)]
 
 
-def _blocks(distance: int, r: int, bits: int = BITS) -> list[tuple[int, int]]:
-    m = distance + r
-    return [(bits * j // m, bits * (j + 1) // m) for j in range(m)]
+def plan(n: int, distance: int = DISTANCE, bits: int = BITS, row_ns: float = 2000, pair_ns: float = 5, cell_ns: float = 60_000) -> int:
+    """The number of blocks of the least estimated cost for n distinct fingerprints: rows, chance meetings and keys."""
+
+    def cost(m: int) -> float:
+        rows = met = keys = 0.0
+        for t, (a, b) in zip(budgets(m, distance), blocks(m, bits), strict=True):
+            near = sum(comb(b - a, k) for k in range(t + 1))
+            rows += 1 + (near - 1) / 2
+            met += min(1.0, near * 2.0 ** (a - b))
+            keys += min(n, 2.0 ** (b - a))
+        return n * rows * row_ns + n * n / 2 * met * pair_ns + keys * cell_ns
 
+    return min(range(min(3, distance + 1), distance + 2), key=cost)
 
-def _keys(distance: int, r: int):
-    blocks = _blocks(distance, r)
 
-    def take(hi: np.ndarray, lo: np.ndarray, a: int, b: int) -> np.ndarray:
-        out = np.zeros(len(hi), np.uint64)
-        if a < 64:
-            out |= (lo >> np.uint64(a)) & np.uint64((1 << min(b, 64) - a) - 1)
-        if b > 64:
-            s = max(a, 64)
-            out |= ((hi >> np.uint64(s - 64)) & np.uint64((1 << b - s) - 1)) << np.uint64(s - a)
-        return out
+def _value(hi: np.ndarray, lo: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Bits a to b of fingerprints; of more than 58, what a hash of them keeps."""
+    out = np.zeros(len(hi), np.uint64)
+    if a < 64:
+        out |= (lo >> np.uint64(a)) & np.uint64((1 << min(b, 64) - a) - 1)
+    if b > 64:
+        s = max(a, 64)
+        out |= ((hi >> np.uint64(s - 64)) & np.uint64((1 << b - s) - 1)) << np.uint64(s - a)
+    return out
+
+
+def _keys(m: int, distance: int, dealt: cells.Deal | None):
+    """Rows at home in each block, and those that probe the greater values within its budget; without ``dealt`` the keys at home alone."""
+    each = list(zip(budgets(m, distance), blocks(m), strict=True))
 
     def run(batches):
         for batch in batches:
-            hi = batch.column(1).to_numpy().view(np.uint64)
-            lo = batch.column(2).to_numpy().view(np.uint64)
-            values = [take(hi, lo, a, b) for a, b in blocks]
-            for c, chosen in enumerate(combinations(range(len(blocks)), r)):
-                key = np.zeros(len(hi), np.uint64)
-                for j in chosen:
-                    a, b = blocks[j]
-                    key = (key << np.uint64(b - a)) | values[j]
-                key = (key << np.uint64(16)) | np.uint64(c) if r * (128 // len(blocks) + 1) <= 48 else textscan.mix(key, c)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["key", *batch.schema.names])
+            ids, hi, lo = (batch.column(c).to_numpy() for c in range(3))
+            high, low = hi.view(np.uint64), lo.view(np.uint64)
+
+            def out(value, at, b, probe):
+                key = (textscan.mix(value, b) >> np.uint64(6) if width > 58 else value) << np.uint64(5) | np.uint64(b)
+                row, sub, role = dealt(key.view(np.int64), ids[at], probe)
+                pick = at[row]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)[row]), pa.array(sub), pa.array(role), *(pa.array(x[pick]) for x in (ids, hi, lo))], ["key", "sub", "role", "rep", "hi", "lo"]
+                )
+
+            for b, (most, (start, end)) in enumerate(each):
+                width, own = end - start, _value(high, low, start, end)
+                if dealt is None:
+                    key = (textscan.mix(own, b) >> np.uint64(6) if width > 58 else own) << np.uint64(5) | np.uint64(b)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+                    continue
+                yield out(own, np.arange(len(ids)), b, False)
+                for k in range(1, most + 1):
+                    for changed in combinations(range(width), k):
+                        mask = np.uint64(sum(1 << j for j in changed))
+                        # of two values one is greater: the lesser probes it
+                        at = np.flatnonzero((own >> np.uint64(changed[-1])) & np.uint64(1) == 0)
+                        if len(at):
+                            yield out(own[at] ^ mask, at, b, True)
 
     return run
 
 
-def close_edges(ids: np.ndarray, hi: np.ndarray, lo: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within ``distance`` that connect whatever pairs within ``distance`` connect."""
-    n, a, b, at = len(ids), [], [], 0
-    while at < n - 1:
-        rows = max(1, min(128, CELLS // (n - at), n - at))
-        with np.errstate(over="ignore"):
-            near = np.bitwise_count(hi[at : at + rows, None] ^ hi[None, at:])
-            near += np.bitwise_count(lo[at : at + rows, None] ^ lo[None, at:])
-        close = near <= distance
-        if np.count_nonzero(close) > rows:  # each row is close to itself
-            i, j = np.nonzero(close)
-            if len(i) > 4 * (n - at):  # a dense part: one edge a column, from a root that stands for all rows that it connects
-                root = np.arange(rows)
-                while True:
-                    column = np.full(n - at, rows)
-                    np.minimum.at(column, j, root[i])
-                    new = root.copy()
-                    np.minimum.at(new, i, column[j])
-                    new = new[new]
-                    if (new == root).all():
-                        break
-                    root = new
-                j = np.flatnonzero(column < rows)
-                i = column[j]
-            keep = i != j
-            a.append(ids[at + i[keep]])
-            b.append(ids[at + j[keep]])
-        at += rows
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (z, z)
-
-
-def _compare(distance: int):
+class Tile:
+    def __init__(self, columns):
+        ids, hi, lo = (c.to_numpy() for c in columns)
+        self.ids, self.hi, self.lo = ids, hi.view(np.uint64), lo.view(np.uint64)
+        self.links = np.zeros(len(ids), np.int64)
+
+
+def first_block(hi: np.ndarray, lo: np.ndarray, m: int, distance: int) -> np.ndarray:
+    """The first block in which pairs of these differing bits are within the budget."""
+    out, open_ = np.full(len(hi), m), np.arange(len(hi))
+    for b, (most, (start, end)) in enumerate(zip(budgets(m, distance), blocks(m), strict=True)):
+        near = np.bitwise_count(_value(hi[open_], lo[open_], start, end)) <= most
+        out[open_[near]] = b
+        open_ = open_[~near]
+    return out
+
+
+def _compare(m: int, distance: int):
     def run(batches):
-        def groups():
-            """Runs of whole keys; the rows come sorted by key."""
-            rest = None
-            for batch in batches:
-                cols = [c.to_numpy() for c in batch.columns]
-                if rest is not None:
-                    cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
-                if not len(cols[0]):
-                    continue
-                end = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-                rest = [c[end:] for c in cols]
-                if end:
-                    yield [c[:end] for c in cols]
-            if rest is not None and len(rest[0]):
-                yield rest
-
-        for key, ids, hi, lo in groups():
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.concatenate([starts[1:], [len(key)]])
-            for s, e in zip(starts, ends, strict=True):
-                if e - s > 1:
-                    a, b = close_edges(ids[s:e], hi[s:e].view(np.uint64), lo[s:e].view(np.uint64), distance)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        def compare(s: Tile, t: Tile):
+            near = np.bitwise_count(s.hi[:, None] ^ t.hi[None])
+            near += np.bitwise_count(s.lo[:, None] ^ t.lo[None])
+            i, j = np.nonzero(near <= distance)
+            if s is t:
+                keep = i < j
+                i, j = i[keep], j[keep]
+            if len(i):
+                first = first_block(s.hi[i] ^ t.hi[j], s.lo[i] ^ t.lo[j], m, distance) == t.block
+                i, j = i[first], j[first]
+            if len(i):
+                s.links += np.bincount(i, minlength=len(s.ids))
+                t.links += np.bincount(j, minlength=len(t.ids))
+                a, b = spanning(s.ids[i], t.ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "links"])
+
+        def tile(columns):
+            t = Tile(columns[1:])
+            t.block = int(columns[0][0].as_py()) & 31
+            return t
+
+        def emit(t: Tile):
+            has = np.flatnonzero(t.links)
+            if len(has):
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids[has]), pa.nulls(len(has), pa.int64()), pa.array(t.links[has])], ["a", "b", "links"])
+
+        yield from cells.stream(batches, 7, tile, compare, TILE, emit)
 
     return run
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(id, root) for each row with an id and a text; documents of one group have the same root, its least id."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, m: int | None = None) -> DataFrame:
+    """(id, root, links) for each distinct id with a text: its class, by the class's least id, and the number of other fingerprints within the distance."""
     marks = cut(identified(docs, id_col, text_col).mapInArrow(_fingerprint_batches, _FINGERPRINTS))
     prints = cut(marks.groupBy(f"{OWN}hi", f"{OWN}lo").agg(F.min(f"{OWN}id").alias("rep")).select("rep", f"{OWN}hi", f"{OWN}lo"))
-    r = plan(prints.count(), distance)
-    spread = prints.mapInArrow(_keys(distance, r), f"key bigint, rep bigint, {OWN}hi bigint, {OWN}lo bigint")
-    edges = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(distance), "a bigint, b bigint")
+    n = prints.count()
+    m = m or plan(n, distance)
+    large = cells.deal(prints.mapInArrow(_keys(m, distance, None), "key bigint"), n * m, PART, PART)
+    spread = prints.mapInArrow(_keys(m, distance, large), "key bigint, sub bigint, role int, rep bigint, hi bigint, lo bigint")
+    keyed = spread.repartition("key", "sub").sortWithinPartitions("key", "sub", "role").select("key", "sub", "role", F.col("key").alias("k"), "rep", "hi", "lo")
+    met = cut(keyed.mapInArrow(_compare(m, distance), "a bigint, b bigint, links bigint"))
+    links = met.where("links is not null").groupBy(F.col("a").alias("l_rep")).agg(F.sum("links").alias("n"))
     # an id with several texts is a member of all their groups
-    linked = marks.join(prints, [f"{OWN}hi", f"{OWN}lo"]).select(F.col(f"{OWN}id").alias("id"), "rep")
+    linked = marks.join(prints, [f"{OWN}hi", f"{OWN}lo"]).groupBy(F.col(f"{OWN}id").alias("id"), "rep").agg(F.count(F.lit(1)).alias("rows"))
     several = linked.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    roots = components(edges.unionByName(several))
-    return linked.join(roots, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("root"))
+    roots = components(met.where("b is not null").select("a", "b").unionByName(several))
+    known = prints.select("rep").join(roots, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("l_rep"), "left")
+    known = known.select("rep", F.coalesce("root", "rep").alias("root"), F.coalesce("n", F.lit(0)).alias("links"))
+    return linked.join(known, "rep").groupBy("id").agg(F.min("root").alias("root"), F.sum("links").alias("links"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("texts"))
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, copies): the documents that stay, and how many rows each stands for."""
-    return near_groups(docs, id_col, text_col, distance).groupBy(F.col("root").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies"))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, root, links, kept): each distinct id with its class, and each row that can't be compared as a class of its own."""
+    found = near_groups(docs, id_col, text_col, distance).select(F.col("id").alias("doc_id"), "root", "links", (F.col("id") == F.col("root")).alias("kept"))
+    own = col(id_col).cast("bigint")
+    alone = docs.where(own.isNull() | col(text_col).isNull()).select(own.alias("doc_id"), own.alias("root"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
-    groups = cut(near_groups(docs, id_col, text_col, distance))
-    gone = groups.where("id <> root").select(F.col("id").alias(f"{OWN}gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == F.col(f"{OWN}gone"), "left_anti")
-    again = groups.groupBy("id").count().where("count > 1").select(F.col("id").alias(f"{OWN}gone"))
+    groups = cut(near_groups(docs, id_col, text_col, distance).where("id <> root or rows > 1").select("id", (F.col("id") == F.col("root")).alias("first")))
+    own, gone = col(id_col).cast("bigint"), F.col(f"{OWN}gone")
+    # a row with a null text isn't compared, whatever other rows have its id
+    known = docs.withColumn(f"{OWN}id", F.when(col(text_col).isNotNull(), own))
+    kept = known.join(groups.where("not first").select(F.col("id").alias(f"{OWN}gone")), F.col(f"{OWN}id") == gone, "left_anti")
+    again = groups.where("first").select(F.col("id").alias(f"{OWN}gone"))
+    columns = [col(c) for c in docs.columns]
     if again.isEmpty():
-        return kept
-    once = kept.join(again, kept[id_col] == F.col(f"{OWN}gone"), "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = (
-        kept.join(again, kept[id_col] == F.col(f"{OWN}gone"), "left_semi")
-        .groupBy(F.col(f"`{id_col}`").alias(f"{OWN}id"))
-        .agg(F.min_by(row, F.xxhash64(F.col(f"`{text_col}`"))).alias(f"{OWN}row"))
-        .select(f"{OWN}row.*")
-    )
-    return once.unionByName(one)
+        return kept.select(*columns)
+    once = kept.join(again, F.col(f"{OWN}id") == gone, "left_anti").select(*columns)
+    one = kept.join(again, F.col(f"{OWN}id") == gone, "left_semi").groupBy(f"{OWN}id").agg(F.min_by(F.struct(*columns), F.xxhash64(col(text_col))).alias(f"{OWN}row"))
+    return once.unionByName(one.select(f"{OWN}row.*"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(table(spark, sf_dir, "documents"))
+    """(doc_id, root, links, kept) for each document."""
+    return classes(table(spark, sf_dir, "documents"))
