@@ -5,18 +5,20 @@ spreads distance evenly over the coordinates. These are split into blocks; two
 vectors within a squared distance t have a block in which their squared
 distance is at most that block's share of t. So each block is joined by range
 under its share, on a grid of its leading coordinates, and the union of the
-candidates is verified with exact distances. A group is a connected set of
+candidates is verified with exact distances. A class is a connected set of
 vectors within the threshold; its least id stays.
 
-How it scales. Equal vectors collapse first. A grid cell is a key of an
-ordinary shuffle; a vector goes to its own cell and, among the later ones, to
-those neighbours that its ball touches. ``plan`` chooses the blocks, two at
-least, and how many coordinates the grid takes, by the rows and meetings that a
-bounded sample of the vectors has under each choice. No choice changes the
-result, and there is no cap on the vectors of a cell: a large one is dealt in
-parts, each pair of parts is a key of its own, and a task holds two parts at
-most while the rest is streamed tile by tile. A cell returns edges that connect
-what is close in it, not all pairs.
+How it scales. Equal vectors collapse first, by partial aggregation. A grid cell
+is a key of an ordinary shuffle; a vector goes to its own cell and, among the
+later ones, to those neighbours that its ball touches. ``plan`` chooses the
+blocks, two at least, and how many coordinates the grid takes, by the rows and
+meetings that a bounded sample of the vectors has under each choice. No choice
+changes the result, and there is no cap on the vectors of a cell: a large one is
+dealt in parts (``cells``), and a task holds two parts at most while the rest is
+streamed tile by tile. In a tile a few of the block's coordinates reject nearly
+all pairs before the whole block is looked at. A pair counts in the block in
+which it takes the least of its share, so a link counts once. A cell returns
+edges that connect what is close in it and numbers of links, not all pairs.
 
 What stays. Vectors spread evenly over many dimensions lie so close together in
 each coordinate, against the threshold, that the grid rejects next to nothing:
@@ -27,9 +29,13 @@ and with them the rows that are shuffled.
 Results that hold by definition:
 
 * null, empty or zero vectors, and those with a null, infinite or NaN element,
-  are compared with nothing and stay; so do rows with a null id;
+  are compared with nothing: each is a class of its own without links and stays;
+  so do rows with a null id;
 * vectors of different lengths are never close;
-* rows that repeat an id are one member; equal vectors are close;
+* rows that repeat an id are one member, of the classes of all its vectors;
+  equal vectors are close, and are no link; links are those between different
+  vectors of length 1;
+* ties: a distance equal to the threshold is within it;
 * other columns are never read; an empty table gives an empty table.
 """
 
@@ -40,27 +46,30 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textscan
-from .common import OWN, cut, table
+from . import cells, textscan
+from .common import OWN, col, cut, table
 from .components import components, spanning
 
 #: Least cosine similarity of near copies.
 SIMILARITY = 0.95
 #: Rows of a tile of distances.
 TILE = 1024
-#: Vectors of a cell that is dealt in two parts, and bytes of a part at most.
-SPLIT = 16384
+#: Vectors of a cell that is dealt, in how many parts if not too large for them, and bytes of a part at most.
+SPLIT = 8192
+SPREAD = 4
 PART_BYTES = 32 << 20
+#: Coordinates of a block that are looked at first.
+FEW = 12
 #: Rows of a vector in the grid, at most: they are shuffled, and take disk.
 MOST_ROWS = 16
 #: Vectors to plan by, at most.
 SAMPLE = 2048
 SLACK = 1e-3
 
-_VECTORS = "id bigint, dim int, mark bigint, vec binary"
+_VECTORS = "id bigint, dim int, vec binary"
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -85,13 +94,20 @@ def _parse(batches):
             if not ok.any():
                 continue
             x = (x[ok] / norm[ok, None]).astype("<f4") + np.float32(0)  # no negative zero
-            bits = x.view(np.uint32).astype(np.uint64) + (np.arange(dim, dtype=np.uint64) << np.uint64(32))
-            mark = textscan.mix(textscan.mix(bits).sum(axis=1))
-            rows = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at[ok])), pa.array(np.full(len(x), dim, np.int32)), pa.array(mark.view(np.int64)), pa.array(rows, pa.binary())],
-                ["id", "dim", "mark", "vec"],
-            )
+            rows = binaries(x)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[ok])), pa.array(np.full(len(x), dim, np.int32)), rows], ["id", "dim", "vec"])
+
+
+def binaries(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes."""
+    width = x.shape[1] * x.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """``binaries``, read back without a copy of each row."""
+    data, _ = textscan.buffer(column)
+    return np.frombuffer(data, "<f4").reshape(-1, dim)
 
 
 def _blocks(dim: int, m: int) -> list[tuple[int, int]]:
@@ -161,122 +177,134 @@ def plan(n: int, dim: int, budget: float, sample: np.ndarray, row_ns: float = 50
     return min(options, key=lambda o: cost(*o)) if options else (1, 1)
 
 
-def _cells(dim: int, m: int, g: int, budget: float):
+def _cells(dim: int, m: int, g: int, budget: float, dealt: cells.Deal | None):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, dim)
+            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
             for b, at, key, probe in _placed(x, m, g, budget):
-                rows = batch.take(pa.array(at))
+                if dealt is None:
+                    if not probe:
+                        yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
+                    continue
+                row, sub, role = dealt(key, ids[at], probe)
+                pick = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(np.full(len(at), b, np.int32)), pa.array(np.full(len(at), probe)), *rows.columns], ["key", "block", "probe", "id", "vec"]
+                    [pa.array(key[row]), pa.array(sub), pa.array(role), pa.array(np.full(len(row), b, np.int32)), batch.column(0).take(pick), batch.column(1).take(pick)], ["key", "sub", "role", "block", "id", "vec"]
                 )
 
     return run
 
 
-def dealt(spread: DataFrame, dim: int) -> DataFrame:
-    """Rows with ``sub``, the pair of parts of their cell that they are compared in, and ``role``.
-
-    Roles: 0 to 2 are at home (where both parts are the same one, in the first and in the second of two), and 3 to 5 probe likewise.
-    """
-    most = max(TILE, PART_BYTES // (4 * dim))
-    parts = F.greatest(F.ceil(F.col("count") / most), F.least(F.lit(4), F.expr(f"count div {max(1, SPLIT // 2)}"))).cast("int")
-    large = spread.groupBy("key").count().select("key", parts.alias("parts")).where("parts > 1")
-    # only cells of SPLIT rows: few against the table
-    known = spread.join(F.broadcast(large), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    known = known.withColumn("p", F.pmod(F.xxhash64("id", "vec"), "parts").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sub = (F.least("p", "q").cast("bigint") * F.col("parts") + F.greatest("p", "q")).alias("sub")
-    role = (F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2) + F.when(F.col("probe"), 3).otherwise(0)).alias("role")
-    return known.select("key", "block", sub, role, "id", "vec")
-
-
 class Tile:
-    """Vectors of one role, with their block in the form whose product with another tile's is the squared distance."""
+    """Some vectors of a cell, with their block in a form whose product with another tile's is the squared distance."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, turn: np.ndarray):
-        u = x @ turn
-        size, one = (u * u).sum(axis=1)[:, None], np.ones((len(u), 1), np.float32)
-        self.ids, self.x = ids, x
-        self.left, self.right = np.concatenate([-2 * u, size, one], axis=1), np.concatenate([u, one, size], axis=1)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, block: int, start: int, end: int):
+        self.ids, self.x, self.block = ids, x, block
+        self.links = np.zeros(len(ids), np.int64)
+        self.u = x @ rotation(x.shape[1])[:, start:end]
+        few = self.u[:, :FEW]
+        size, one = (few * few).sum(axis=1)[:, None], np.ones((len(few), 1), np.float32)
+        self.left, self.right = np.concatenate([-2 * few, size, one], axis=1), np.concatenate([few, one, size], axis=1)
 
 
 def close_pairs(s: Tile, t: Tile, share: float, budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the pairs of rows of s and t within ``budget``: the block's share first, then the exact distance."""
-    i, j = np.nonzero(s.left @ t.right.T <= np.float32(share * (1 + SLACK) + 1e-6))
-    keep = np.zeros(len(i), bool)
-    for a in range(0, len(i), 1 << 16):
-        d = s.x[i[a : a + (1 << 16)]].astype(np.float64) - t.x[j[a : a + (1 << 16)]]
-        keep[a : a + (1 << 16)] = np.einsum("ij,ij->i", d, d) <= budget
-    a, b = s.ids[i[keep]], t.ids[j[keep]]
-    return a[a != b], b[a != b]
-
-
-#: The role that a role is compared with, among those before it in order.
-_AGAINST = {0: 0, 2: 1, 3: 0, 4: 2, 5: 1}
+    """Rows of s and t within ``budget``: a few coordinates first, then the block's share, then the exact distance."""
+    most = np.float32(share * (1 + SLACK) + 1e-6)
+    i, j = np.nonzero(s.left @ t.right.T <= most)
+    if s is t:
+        keep = i < j
+        i, j = i[keep], j[keep]
+    for part, limit, kind in (("u", most, np.float32), ("x", budget, np.float64)):
+        v, w, keep = getattr(s, part), getattr(t, part), np.zeros(len(i), bool)
+        for a in range(0, len(i), 1 << 16):
+            d = v[i[a : a + (1 << 16)]].astype(kind) - w[j[a : a + (1 << 16)]]
+            keep[a : a + (1 << 16)] = np.einsum("ij,ij->i", d, d) <= limit
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def counted(x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """The block in which each pair takes the least of its share: the one in which it counts."""
+    turned = (x.astype(np.float64) - y) @ rotation(x.shape[1]).astype(np.float64)
+    ratio = [(turned[:, a:b] ** 2).sum(axis=1) / (b - a) for a, b in bounds]
+    return np.argmin(np.stack(ratio).astype(np.float32), axis=0)
 
 
 def _compare(dim: int, m: int, budget: float):
-    blocks = _blocks(dim, m)
+    bounds = _blocks(dim, m)
 
     def run(batches):
-        held, now = {0: [], 1: [], 2: []}, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, block, sub, role, ids = (batch.column(c).to_numpy() for c in range(5))
-            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<f4").reshape(-1, dim)
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (sub[1:] != sub[:-1]) | (role[1:] != role[:-1])])
-            starts = np.flatnonzero(new)
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                if now != (now := (key[s], block[s], sub[s])):
-                    held = {0: [], 1: [], 2: []}
-                r, (start, end) = int(role[s]), blocks[block[s]]
-                against = _AGAINST.get(r)
-                if r > 2 and not held[against]:
-                    continue
-                for at in range(s, e, TILE):
-                    tile = Tile(ids[at : min(e, at + TILE)], x[at : min(e, at + TILE)], rotation(dim)[:, start:end])
-                    if r < 3:
-                        held[r].append(tile)
-                    for other in held.get(against, ()):
-                        if len(tile.ids) + len(other.ids) > 2 or tile is not other:
-                            a, b = close_pairs(other, tile, budget * (end - start) / dim, budget)
-                            if len(a):
-                                yield pa.RecordBatch.from_arrays([pa.array(z) for z in spanning(a, b)], ["a", "b"])
+        def tile(columns):
+            block = columns[0][0].as_py()
+            return Tile(columns[1].to_numpy(), matrix(columns[2], dim), block, *bounds[block])
+
+        def compare(s: Tile, t: Tile):
+            start, end = bounds[s.block]
+            i, j = close_pairs(s, t, budget * (end - start) / dim, budget)
+            if len(i):
+                a, b = spanning(s.ids[i], t.ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "links"])
+                here = counted(s.x[i], t.x[j], bounds) == s.block
+                s.links += np.bincount(i[here], minlength=len(s.ids))
+                t.links += np.bincount(j[here], minlength=len(t.ids))
+
+        def emit(t: Tile):
+            has = np.flatnonzero(t.links)
+            if len(has):
+                yield pa.RecordBatch.from_arrays([pa.array(t.ids[has]), pa.nulls(len(has), pa.int64()), pa.array(t.links[has])], ["a", "b", "links"])
+
+        yield from cells.stream(batches, 6, tile, compare, TILE, emit)
 
     return run
 
 
 def near_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) for each distinct id with a vector that can be compared; the root is the group's least id."""
-    budget = 2 - 2 * similarity
-    given = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
+    """(id, root, links) for each distinct id with a vector that can be compared; the root is the class's least id."""
+    budget, spark = 2 - 2 * similarity, vectors.sparkSession
+    given = vectors.select(col(id_col).cast("bigint").alias("id"), col(vec_col).cast("array<double>").alias("v"))
     marks = cut(given.where("id is not null and v is not null").mapInArrow(_parse, _VECTORS))
-    first = F.min("id").over(Window.partitionBy("dim", "mark"))
-    linked = marks.select("id", "dim", "vec", first.alias("rep"))
-    linked = cut(linked)
-    single = linked.where("id = rep").dropDuplicates(["id", "vec"]).select("id", "dim", "vec")
-    edges = linked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # a vector may repeat, and so may an id: of equal vectors the least id stands for all
+    single = cut(marks.groupBy("dim", "vec").agg(F.min("id").alias("id")))
+    met = None
     for dim, n in sorted(tuple(r) for r in single.groupBy("dim").count().collect()):
         vecs = single.where(F.col("dim") == dim).select("id", "vec")
-        some = vecs.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE).select("vec").toArrow().column(0).to_pylist()
-        m, g = plan(n, dim, budget, np.frombuffer(b"".join(some), "<f4").reshape(-1, dim))
-        spread = vecs.mapInArrow(_cells(dim, m, g, budget), "key bigint, block int, probe boolean, id bigint, vec binary")
+        some = vecs.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE).toArrow().column(1)
+        m, g = plan(n, dim, budget, matrix(some, dim))
+        large = cells.deal(vecs.mapInArrow(_cells(dim, m, g, budget, None), "key bigint"), n * m, SPLIT, max(TILE, PART_BYTES // (4 * dim)), SPREAD)
+        spread = vecs.mapInArrow(_cells(dim, m, g, budget, large), "key bigint, sub bigint, role int, block int, id bigint, vec binary")
         # a fixed number of partitions: those merged by size would put the work on few tasks
-        keyed = dealt(spread, dim).repartition(int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "sub").sortWithinPartitions("key", "block", "sub", "role")
-        edges = edges.unionByName(keyed.mapInArrow(_compare(dim, m, budget), "a bigint, b bigint"))
-    roots = components(edges)
-    return linked.select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
+        keyed = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "sub").sortWithinPartitions("key", "sub", "role")
+        here = keyed.mapInArrow(_compare(dim, m, budget), "a bigint, b bigint, links bigint")
+        met = here if met is None else met.unionByName(here)
+    met = cut(met) if met is not None else spark.createDataFrame([], "a bigint, b bigint, links bigint")
+    links = met.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    # the id that stands for each row's vector: equal vectors' least
+    linked = marks.join(single.withColumnRenamed("id", "rep"), ["dim", "vec"]).groupBy("id", "rep").agg(F.count(F.lit(1)).alias("rows"))
+    linked = cut(linked)
+    roots = components(met.where("b is not null").select("a", "b").unionByName(linked.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    own = linked.join(links, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.sum("rows").alias("rows"))
+    return own.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "links", "rows")
+
+
+def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
+    """(vec_id, root, links): each distinct id with its class, and each id that has no vector to compare as a class of its own."""
+    found = near_groups(vectors, id_col, vec_col, similarity).select(F.col("id").alias("vec_id"), "root", "links")
+    own = col(id_col).cast("bigint")
+    every = vectors.select(own.alias("vec_id"))
+    alone = every.join(found.select(F.col("vec_id").alias("have")), F.col("vec_id") == F.col("have"), "left_anti")
+    alone = alone.where("vec_id is null").unionByName(alone.where("vec_id is not null").distinct())
+    return found.unionByName(alone.select("vec_id", F.col("vec_id").alias("root"), F.lit(0).cast("bigint").alias("links")))
 
 
 def drop_near_copies(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``vectors`` that are their group's first, or were compared with nothing."""
+    """The rows of ``vectors`` that are their class's first, or were compared with nothing."""
     gone = near_groups(vectors, id_col, vec_col, similarity).where("id <> root").select(F.col("id").alias(f"{OWN}gone"))
-    return vectors.join(gone, vectors[id_col] == F.col(f"{OWN}gone"), "left_anti")
+    known = vectors.withColumn(f"{OWN}id", col(id_col).cast("bigint"))
+    return known.join(gone, F.col(f"{OWN}id") == F.col(f"{OWN}gone"), "left_anti").select(*[col(c) for c in vectors.columns])
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, root) for each vector."""
-    return near_groups(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "root")
+    """(vec_id, root, links) for each vector."""
+    return classes(table(spark, sf_dir, "embeddings"))
