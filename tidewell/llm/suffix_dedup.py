@@ -2,7 +2,9 @@
 
 A passage of ``MIN_WORDS`` words or more that occurred before, in the order of
 (doc_id, text hash, position), is cut; its first occurrence stays. Words are
-runs of bytes without white space and must be equal byte for byte.
+runs of bytes without white space, upper and lower case apart. They travel as 32
+bits of a hash, so a match of 50 words is one of 1,600 bits; two passages that
+differ in a single word are taken for equal with a probability of 2^-32.
 
 How it scales. One suffix array over a corpus cannot be built, so passages that
 may match are brought together first. In each window of words the least hash of
@@ -10,24 +12,33 @@ may match are brought together first. In each window of words the least hash of
 ``MIN_WORDS`` words has the same anchor in all its copies. Anchors are counted
 (8 bytes each); a Bloom filter of those that repeat lets a second scan send only
 the surroundings of repeated anchors, as word ids, to the partition of their
-anchor. The filter's size is checked: it is fitted to the count up to
-``FILTER_BITS``, and beyond that it passes more than needed, never less.
+anchor. The filter is broadcast and so has at most ``FILTER_BITS``; where more
+anchors repeat than it can tell apart, it passes more than needed, never less:
+at worst the surroundings of all anchors are shuffled.
 
 In a partition, equal surroundings collapse to the first of them; the rest are
 joined into texts whose suffix array is built by prefix doubling. The previous
 and next smaller positions in suffix order give each position its longest
 previous factor; where that reaches ``MIN_WORDS``, a later copy begins.
 
+An anchor that occurs more than ``HOT`` times (a notice on a third of all pages)
+would bring too much to one task. Around such anchors each run of ``MIN_WORDS``
+words is a row of its own, by two hashes: the first place of each is found by
+partial aggregation, and the others join it, which the adaptive skew join may
+split. That finds the same spans. ``HOT`` grows with the table, so that the list
+of hot anchors, which goes to every task, has ``cells.MOST_LARGE`` entries at most.
+
 Results that hold by definition:
 
-* null texts and null ids are neither cut nor compared; texts of fewer than
-  ``MIN_WORDS`` words cannot hold a passage and stay as they are;
+* null texts and null ids are neither cut nor compared; empty texts and those of
+  fewer than ``MIN_WORDS`` words cannot hold a passage and stay as they are;
 * a passage that repeats inside a document is cut there too; overlapping
   copies count (a long run of one word keeps its beginning);
 * rows equal in id and text are one document and are cut alike; rows that share
   an id and differ in text are different documents, in the order of their
-  text's hash;
+  text's hash, so there are no ties;
 * a document that is cut wholly keeps its row, with an empty text;
+* very long texts are read whole, each as a slice of its own;
 * other columns pass through unread, whatever their names; an empty table gives
   an empty table.
 """
@@ -41,19 +52,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textscan
-from .common import OWN, cut, table
+from . import cells, textscan
+from .common import OWN, col, cut, table
 
 MIN_WORDS = 50
 #: Words of an anchor.
 ANCHOR = 8
 #: Most bits of the filter of repeated anchors (16 MB).
 FILTER_BITS = 1 << 27
+#: Rows of an anchor beyond which it is hot, at least.
+HOT = 4096
 #: Words of the texts whose suffixes are sorted together, about.
 TEXT_WORDS = 400_000
 
 _SEEN = "anchor bigint"
 _AROUND = f"anchor bigint, {OWN}id bigint, tie bigint, pos int, off int, words binary"
+_RUNS = f"run bigint, check bigint, {OWN}id bigint, tie bigint, pos int"
 _SPANS = f"{OWN}id bigint, tie bigint, s int, e int"
 
 
@@ -120,14 +134,54 @@ def _filter(repeated: DataFrame, most_bits: int) -> np.ndarray:
     return out
 
 
-def _flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... for each start and its length."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+def runs(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of the k words from each word on, where there are so many (by doubling)."""
+    out, span, cur, done = None, 1, textscan.mix(hashes, seed), 0
+    while True:
+        if k & span:
+            part = cur[done:]
+            out = part if out is None else textscan.mix(out[: len(part)] * np.uint64(0xD6E8FEB86659FD93) + part, seed)
+            done += span
+        if done == k:
+            return out[: max(0, len(hashes) - k + 1)]
+        cur = textscan.mix(cur[:-span] * np.uint64(0x9E3779B97F4A7C15) + cur[span:], seed)
+        span *= 2
+
+
+def _scan_runs(min_words: int, k: int, hot):
+    """Every run of ``min_words`` words that holds a hot anchor."""
+    reach = min_words - k
+
+    def run(batches):
+        for batch in batches:
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = textscan.buffer(batch.column(2))
+            for a, b in textscan.slices(offsets):
+                words = textscan.scan(data, offsets[a : b + 1], fold=False)
+                n = len(words.hashes)
+                if n < min_words:
+                    continue
+                at, gram = anchors(words, min_words, k)
+                at = at[np.isin(gram[at].view(np.int64), hot.value)]
+                if not len(at):
+                    continue
+                # starts of runs around the anchors, each once
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, np.maximum(at - reach, 0), 1)
+                np.add.at(edge, at + 1, -1)
+                start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                doc = np.searchsorted(words.first, start, side="right") - 1
+                whole = start + min_words <= words.first[doc + 1]
+                start, doc = start[whole], doc[whole]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(runs(words.hashes, min_words, seed)[start].view(np.int64)) for seed in (7, 8)), pa.array(ids[a:b][doc]), pa.array(ties[a:b][doc]), pa.array((start - words.first[doc]).astype(np.int32))],
+                    ["run", "check", f"{OWN}id", "tie", "pos"],
+                )
+
+    return run
 
 
-def _scan_around(min_words: int, k: int, filter_words):
+def _scan_around(min_words: int, k: int, filter_words, hot):
     reach = min_words - k
 
     def run(batches):
@@ -144,6 +198,7 @@ def _scan_around(min_words: int, k: int, filter_words):
                 hit = np.ones(len(at), bool)
                 for place in _bits(key, len(bits) << 6):
                     hit &= (bits[place >> 6] >> (place & 63)) & 1 == 1
+                hit &= ~np.isin(key.view(np.int64), hot.value)
                 at, key = at[hit], key[hit]
                 if not len(at):
                     continue
@@ -151,7 +206,7 @@ def _scan_around(min_words: int, k: int, filter_words):
                 start = np.maximum(words.first[doc], at - reach)
                 end = np.minimum(words.first[doc + 1], at + min_words)
                 lengths = end - start
-                tokens = words.hashes.astype(np.uint32)[_flat(start, lengths)]
+                tokens = words.hashes.astype(np.uint32)[textscan.flat(start, lengths)]
                 where = np.concatenate([[0], np.cumsum(lengths * 4)]).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(where), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays(
@@ -219,13 +274,13 @@ def previous_factors(order: np.ndarray, shared: np.ndarray, least: int) -> np.nd
 
 def _later(ids, ties, pos, tokens, offsets, least: int):
     """Spans (id, tie, start, end) that occurred before, in texts joined from pieces; pieces come in any order."""
-    order = np.lexsort((pos, ties, ids))
+    order = np.lexsort((np.diff(offsets), pos, ties, ids))
     ids, ties, pos = ids[order], ties[order], pos[order].astype(np.int64)
     lengths = np.diff(offsets)[order]
     begin = offsets[:-1][order]
     end = pos + lengths
     same = np.concatenate([[False], (ids[1:] == ids[:-1]) & (ties[1:] == ties[:-1])])
-    # pieces of a document overlap; their ends rise with their starts
+    # pieces of a document overlap; their ends rise with their starts, and with their lengths where they share a start
     before = np.where(same, np.concatenate([[0], end[:-1]]), 0)
     skip = np.where(same, np.clip(before - pos, 0, lengths), 0)
     fresh = ~same | (pos > before)
@@ -239,9 +294,9 @@ def _later(ids, ties, pos, tokens, offsets, least: int):
     text = np.empty(n, np.int64)
     where = np.empty(n, np.int64)
     piece = np.empty(n, np.int64)
-    target = _flat(at, take)
-    text[target] = tokens[_flat(begin + skip, take)]
-    where[target] = _flat(pos + skip, take)
+    target = textscan.flat(at, take)
+    text[target] = tokens[textscan.flat(begin + skip, take)]
+    where[target] = textscan.flat(pos + skip, take)
     piece[target] = np.repeat(np.arange(len(ids)), take)
     ends = (at + take)[closing]
     text[ends] = (1 << 33) + group[closing]
@@ -285,7 +340,7 @@ def _find_later(least: int):
             several[:-1] |= several[1:].copy()
             if several.any():
                 pick = np.flatnonzero(several)
-                tokens = tokens[_flat(offsets[pick], lengths[pick])]
+                tokens = tokens[textscan.flat(offsets[pick], lengths[pick])]
                 offsets = np.concatenate([[0], np.cumsum(lengths[pick])])
                 found = _later(ids[pick], ties[pick], pos[pick], tokens, offsets, least)
                 if found is not None:
@@ -315,7 +370,7 @@ def _find_later(least: int):
             seen = np.union1d(seen, whole[tail]) if seen_anchor == key[-1] else np.unique(whole[tail])
             seen_anchor = key[-1]
             pick = np.flatnonzero(fresh)
-            part = (key[pick], ids[pick], ties[pick], pos[pick], lengths[pick], tokens[_flat(where[:-1][pick], lengths[pick])])
+            part = (key[pick], ids[pick], ties[pick], pos[pick], lengths[pick], tokens[textscan.flat(where[:-1][pick], lengths[pick])])
             kept.append(part)
             held += len(part[5])
             if held >= TEXT_WORDS:
@@ -358,34 +413,44 @@ def _cut_text(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series
     return pd.Series(out, dtype=object)
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS) -> DataFrame:
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS, hot_rows: int = HOT) -> DataFrame:
     """Spans of words, by id and text hash, that occurred before."""
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    whole = docs.select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id"), F.xxhash64(text).alias("tie"), text.alias(f"{OWN}text"))
+    text = col(text_col).cast("string")
+    whole = docs.select(col(id_col).cast("bigint").alias(f"{OWN}id"), F.xxhash64(text).alias("tie"), text.alias(f"{OWN}text"))
     whole = whole.where(f"{OWN}id is not null and {OWN}text is not null")
     seen = whole.select(f"{OWN}text").mapInArrow(_scan_anchors(min_words, anchor), _SEEN)
-    repeated = cut(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    bits = spark.sparkContext.broadcast(_filter(repeated, filter_bits))
-    around = whole.mapInArrow(_scan_around(min_words, anchor, bits), _AROUND)
+    repeated = cut(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    total = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = repeated.where(F.col("n") > cells.threshold(total, hot_rows)).select("anchor").toArrow().column(0).to_numpy()
+    hot = spark.sparkContext.broadcast(np.sort(many))
+    bits = spark.sparkContext.broadcast(_filter(repeated.select("anchor"), filter_bits))
+    around = whole.mapInArrow(_scan_around(min_words, anchor, bits, hot), _AROUND)
     grouped = around.repartition("anchor").sortWithinPartitions("anchor", f"{OWN}id", "tie", "pos")
-    return grouped.mapInArrow(_find_later(min_words), _SPANS)
+    spans = grouped.mapInArrow(_find_later(min_words), _SPANS)
+    if not len(many):
+        return spans
+    rows = cut(whole.mapInArrow(_scan_runs(min_words, anchor, hot), _RUNS))
+    place = F.struct(f"{OWN}id", "tie", "pos")
+    first = rows.groupBy("run", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = rows.join(first, ["run", "check"]).where(place > F.col("first"))
+    return spans.unionByName(later.select(f"{OWN}id", "tie", F.col("pos").alias("s"), (F.col("pos") + min_words).alias("e")))
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS, removed: str | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, filter_bits: int = FILTER_BITS, hot_rows: int = HOT, removed: str | None = None) -> DataFrame:
     """``docs`` without later copies of passages; ``removed`` names a column for the number of words cut."""
-    spans = later_copies(docs, id_col, text_col, min_words, anchor, filter_bits)
+    spans = later_copies(docs, id_col, text_col, min_words, anchor, filter_bits, hot_rows)
     joined = spans.groupBy(F.col(f"{OWN}id"), F.col("tie").alias(f"{OWN}tie")).agg(
         F.array_sort(F.collect_set(F.struct("s", "e"))).alias(f"{OWN}spans")
     )
-    text = F.col(f"`{text_col}`").cast("string")
+    text = col(text_col).cast("string")
     left = docs.withColumn(f"{OWN}key", F.xxhash64(text))
-    both = left.join(joined, (left[id_col] == joined[f"{OWN}id"]) & (left[f"{OWN}key"] == joined[f"{OWN}tie"]), "left")
-    found = F.col(f"{OWN}spans").isNotNull() & F.col(f"`{text_col}`").isNotNull()
+    both = left.join(joined, (col(id_col).cast("bigint") == F.col(f"{OWN}id")) & (F.col(f"{OWN}key") == F.col(f"{OWN}tie")), "left")
+    found = F.col(f"{OWN}spans").isNotNull() & col(text_col).isNotNull()
     starts = F.transform(f"{OWN}spans", lambda x: x["s"])
     ends = F.transform(f"{OWN}spans", lambda x: x["e"])
     shorter = F.pandas_udf(_cut_text, T.StringType())(F.when(found, text), starts, ends)
-    columns = [F.when(found, shorter).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(found, shorter).otherwise(text).alias(c) if c == text_col else col(c) for c in docs.columns]
     if removed:
         # spans that overlap count once: what a span adds beyond the furthest end so far
         total = F.aggregate(
