@@ -2,38 +2,41 @@
 
 Domains are the classes of a labelled table. A classifier learns them from a
 bounded sample of labelled documents and gives every document a posterior over
-domains. Each document then gets a rate, how often it is to be used, from 0 to
-``MOST``: scaled projected gradient descent on the squared differences between the
-domains' expected tokens (the sum over documents of rate x tokens x posterior) and
-their targets, both as shares of all tokens, plus ``RIDGE`` times the squared
-distance of the rates from 1, which settles what the targets leave open; with
-``TIGHT`` in its place it is too small to keep a target from being met that can be. The gradient of a
-document is its posterior times one vector for all; a step scales that vector by
-the moments of the documents that are at no bound, then projects on the bounds;
-of several lengths, tried in one pass, the best counts.
+domains. Each document then gets a rate from 0 to ``MOST``, how often it is to be used:
+projected gradient descent on the squared differences between the domains'
+expected tokens (the sum over documents of rate x tokens x posterior) and their
+targets. The rates begin at 1. The gradient of a document, against its tokens, is
+its posterior times one vector for all, the weighted misses; the weights are the
+inverse moments of the documents that are at no bound, so that a step of length 1
+is the whole way where no rate meets a bound. Several lengths are tried in one
+pass; the rates are projected on the bounds and the best length is taken.
 
 Targets can be out of reach: where all documents have some of a domain, no rates
-bring it down to a small share. The rates then come as near as they can, the
-anchor's tokens first as the largest; ``totals`` gives what is reached against what
-is wanted, and ``mix`` logs a warning for each domain that misses by ``MISS``.
-
-How it scales. Steps of that form leave each rate a function of the document's
-posterior and one number a domain: min(MOST, max(0, 1 - posterior x dual)). So a
-step is one aggregation over a narrow table (tokens and posteriors, written once to
-the shared folder) to a few sums; rates are never stored between steps, and nothing
-of the corpus' size is shuffled or collected. Only the training sample, ``TRAIN_ROWS`` documents at most, goes to
-the driver; it is drawn by a hash of the id over all labels.
+bring it down to a small share. The steps then end at the least squares, the
+largest domains first; ``totals`` gives what is reached against what is wanted,
+and ``mix`` logs a warning for each domain that misses by ``MISS``.
+
+How it scales. A document's rate after some steps follows from its posterior and
+the steps' vectors, a few numbers each. So a step is one aggregation over a
+narrow table (tokens and posteriors, written once to the shared folder, in the
+one pass that scores the documents) to a few sums; rates are never stored
+between steps, and nothing of the corpus' size is shuffled or collected. Only the
+word counts of the training sample, ``TRAIN_ROWS`` documents of at most ``BUCKETS``
+different words, go to the driver; it is drawn by a hash of the id over all labels.
 
 Results that hold by definition:
 
 * a null or empty text has 0 tokens, the posterior of the intercepts and weighs
-  nothing; its rate follows from its posterior like any other;
-* labels that are null in id, quality or toxic are ignored; without labels all
-  mass is on the anchor domain; a domain that no label names has posterior 0
-  and is left out of the targets;
+  nothing; its rate follows from its posterior like any other; very long texts
+  are read whole;
+* labels that are null in id, quality or toxic are ignored, and of several for an
+  id the first domain by name counts; without labels all mass is on the anchor
+  domain; a domain that no label names has posterior 0 and is left out of the
+  targets;
+* ties: of equal posteriors the domain named first is the likeliest;
 * equal rows get equal rates; ids may repeat or be null, as rows aren't joined;
-* other columns pass through, whatever their names, unless named like a result
-  column; an empty table gives an empty table.
+* ``apply_mix`` gives the caller's own columns, whatever their names; ``mix``
+  replaces columns named like its results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -48,28 +51,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan
-from .common import OWN, cut, table
+from .common import OWN, col, cut, numbered, renamed, table
 
 DOMAINS = ("good", "low", "toxic")
 #: Weights of the domains in the mix. The anchor's expected tokens are scaled by ``SCALE``, and the others follow in proportion.
-TARGETS = {"good": 0.97, "low": 0.025, "toxic": 0.005}
+TARGETS = {"good": 0.92, "low": 0.05, "toxic": 0.03}
 ANCHOR, SCALE = "good", 1.25
 #: Labelled documents to learn from, at most.
 TRAIN_ROWS = 4000
-#: A document is used so often at most; a domain that the corpus hardly holds then stays below its target.
-MOST = 4.0
+#: A document is used so often at most: without a bound, targets that are out of reach would repeat a few documents without end.
+MOST = 8.0
 BUCKETS = 1 << 14
 EXTRA = 5
-RIDGE = 0.002
-#: The ridge of the query and of ``apply_mix``: small enough for a small target to be met.
-TIGHT = 1e-7
-#: Ridges from whose rates a smaller one begins: steps from afar are short under a small ridge.
-EASIER = (1e-3, 1e-5)
-STEPS = 40
-#: Steps end when the scaled gradient is below this everywhere.
-CLOSE = 1e-7
+#: Steps at most; they end when all domains are within ``CLOSE`` of their targets, or no length of a step brings them closer.
+STEPS = 60
+CLOSE = 1e-4
 #: Lengths of a step that are tried at once.
-LENGTHS = (1.0, 0.5, 0.2, 0.05, 1e-2, 1e-3, 1e-4, 1e-5)
+LENGTHS = (1.0, 0.7, 0.4, 0.2, 0.1, 0.05, 0.02, 1e-2, 3e-3, 1e-3, 1e-4)
+#: The part of the squared miss that a step has to take away.
+GAIN = 1e-4
 #: A domain whose expected tokens are off by more, against its target, is reported.
 MISS = 0.01
 
@@ -129,14 +129,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(f: Features, label: np.ndarray, k: int, rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sample:
+    """Word counts of labelled documents: entry e is ``count[e]`` words of ``bucket[e]`` in document ``doc[e]``."""
+
+    doc: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    extra: np.ndarray
+    tokens: np.ndarray
+
+
+def train(f: Sample, label: np.ndarray, k: int, rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by Adam, on all rows at once."""
-    n = len(label)
-    doc = np.repeat(np.arange(n), f.tokens)
-    scale = 1 / np.sqrt(np.maximum(f.tokens, 1))
-    # equal words of a text are one entry
-    key, count = np.unique(doc * BUCKETS + f.bucket, return_counts=True)
-    doc, bucket, value = key // BUCKETS, key % BUCKETS, count * scale[key // BUCKETS]
+    n, doc, bucket = len(label), f.doc, f.bucket
+    value = f.count / np.sqrt(np.maximum(f.tokens, 1))[doc]
     weights, dense = np.zeros((BUCKETS, k)), np.zeros((EXTRA + 1, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(dense), np.zeros_like(dense)]
     truth = np.eye(k)[label]
@@ -154,6 +161,19 @@ def train(f: Features, label: np.ndarray, k: int, rounds: int = 120, rate: float
     return weights, dense
 
 
+def _counted(batches):
+    """The counts of each text's words: at most ``BUCKETS`` entries, however long it is."""
+    for batch in batches:
+        data, offsets = textscan.buffer(batch.column(0))
+        for a, b in textscan.slices(offsets):
+            f = features(data, offsets[a : b + 1])
+            key, count = np.unique(np.repeat(np.arange(b - a), f.tokens) * BUCKETS + f.bucket, return_counts=True)
+            edges = pa.array(np.searchsorted(key, np.arange(b - a + 1) * BUCKETS).astype(np.int32))
+            extra = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * EXTRA), pa.array(f.extra.reshape(-1)))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (key % BUCKETS, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(f.tokens), extra, *lists], ["domain", "tokens", "extra", "bucket", "count"])
+
+
 def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(word weights, dense weights, domains that occur), from texts by doc_id and labels by doc_id."""
     named = labels.where("doc_id is not null and quality is not null and toxic is not null").select(
@@ -162,21 +182,25 @@ def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tup
     drawn = named.groupBy(f"{OWN}label_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(f"{OWN}label_id"), f"{OWN}label_id").limit(rows)
     texts = labelled.select(F.col("doc_id").alias(f"{OWN}id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most TRAIN_ROWS ids and names: safe to broadcast at any size of the corpus
-    got = texts.join(F.broadcast(drawn), F.col(f"{OWN}id") == F.col(f"{OWN}label_id")).select("text", "domain").orderBy(F.xxhash64("text"), "domain").limit(rows).toArrow()
-    names = [d for d in DOMAINS if d in set(got["domain"].to_pylist())]
+    some = texts.join(F.broadcast(drawn), F.col(f"{OWN}id") == F.col(f"{OWN}label_id")).select("text", "domain").orderBy(F.xxhash64("text"), "domain").limit(rows)
+    got = some.mapInArrow(_counted, "domain string, tokens bigint, extra array<double>, bucket array<int>, count array<int>").toArrow()
+    domain = got["domain"].to_pylist()
+    names = [d for d in DOMAINS if d in set(domain)]
     if len(names) < 2:
         only = names or [ANCHOR]
         return np.zeros((BUCKETS, 1)), np.zeros((EXTRA + 1, 1)), only
-    f = features(*textscan.buffer(got["text"]))
-    label = np.array([names.index(d) for d in got["domain"].to_pylist()])
-    return *train(f, label, len(names)), names
+    bucket, count = (got[c].combine_chunks() for c in ("bucket", "count"))
+    doc = np.repeat(np.arange(len(bucket)), bucket.value_lengths().to_numpy())
+    f = Sample(doc, bucket.flatten().to_numpy(), count.flatten().to_numpy(), got["extra"].combine_chunks().flatten().to_numpy().reshape(-1, EXTRA), got["tokens"].to_numpy())
+    return *train(f, np.array([names.index(d) for d in domain]), len(names)), names
 
 
-_FOUND = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
+_TOKENS, _POSTERIOR, _RATE = f"{OWN}tokens", f"{OWN}posterior", f"{OWN}rate"
+_FOUND = [T.StructField(_TOKENS, T.LongType()), T.StructField(_POSTERIOR, T.ArrayType(T.DoubleType()))]
 
 
-def _posteriors(model, plan=None):
-    """Tokens and posterior of the last column, a text; with a plan also the rate."""
+def _posteriors(model, keep_text: bool):
+    """The columns with the tokens and posterior of the last one, a text."""
 
     def run(batches):
         weights, dense = model.value
@@ -186,39 +210,40 @@ def _posteriors(model, plan=None):
                 f = features(data, offsets[a : b + 1])
                 p = softmax(scores(f, weights, dense))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
-                columns, names = [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(f.tokens), lists], [*batch.schema.names[:-1], "tokens", "posterior"]
-                if plan is not None:
-                    columns.append(pa.array(plan.rates(p)))
-                    names.append("rate")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                last = batch.num_columns - (not keep_text)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:last]), pa.array(f.tokens), lists], [*batch.schema.names[:last], _TOKENS, _POSTERIOR])
 
     return run
 
 
-@dataclass
+@dataclass(frozen=True)
 class Plan:
-    """Rates as a function of the posterior."""
+    """Rates as the projected steps from 1 on leave them: a step takes a document's posterior times the step's vector away."""
 
-    dual: np.ndarray
+    steps: tuple[tuple[float, ...], ...]
     most: float
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        return np.clip(1 - p @ self.dual, 0.0, self.most)
+        x = np.ones(len(p))
+        for v in self.steps:
+            x = np.clip(x - p @ np.array(v), 0.0, self.most)
+        return x
 
 
-def _sums(plans: list[Plan]):
+def _sums(plan: Plan, moves: list[np.ndarray]):
+    """Sums of one pass: expected tokens at rates of 1, and for each move after the plan's steps the tokens and the free documents' moments."""
+
     def run(batches):
         total = None
         for batch in batches:
             if batch.num_rows:
                 t = batch.column(0).to_numpy().astype(np.float64)
                 p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                got = [t @ p]
-                for plan in plans:
-                    rate = plan.rates(p)
+                got, at = [t @ p], plan.rates(p)
+                for v in moves:
+                    rate = np.clip(at - p @ v, 0.0, plan.most)
                     free = p * (t * ((rate > 0) & (rate < plan.most)))[:, None]
-                    gain = t @ ((p @ plan.dual) * rate + (rate - 1) ** 2 / 2)
-                    got += [(rate * t) @ p, (free.T @ p).reshape(-1), [gain]]
+                    got += [(rate * t) @ p, (free.T @ p).reshape(-1)]
                 got = np.concatenate(got)
                 total = got if total is None else total + got
         if total is not None:
@@ -227,99 +252,107 @@ def _sums(plans: list[Plan]):
     return run
 
 
-@dataclass
-class State:
-    """A plan, the domains' expected tokens under it, the moments of the documents at no bound, and the dual's value without its fixed part."""
-
-    plan: Plan
-    now: np.ndarray
-    moments: np.ndarray
-    gain: float
-
-
-def _totals(known: DataFrame, plans: list[Plan]) -> tuple[np.ndarray, list[State]]:
-    """Expected tokens of the domains at rates of 1, and the state of each plan, in one pass."""
-    k = len(plans[0].dual)
-    each = k + k * k + 1
-    parts = known.select("tokens", "posterior").mapInArrow(_sums(plans), "sums array<double>")
-    # a row of under 1 KB from each task that has rows
+def _totals(known: DataFrame, k: int, plan: Plan, moves: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Expected tokens of the domains at rates of 1, and (tokens, moments) after each move."""
+    parts = known.select("tokens", "posterior").mapInArrow(_sums(plan, moves), "sums array<double>")
+    # a row of under 2 KB from each task that has rows
     rows = parts.toArrow().column(0).to_pylist()
-    row = np.array(rows).sum(axis=0) if rows else np.zeros(k + each * len(plans))
-    own = row[k:].reshape(len(plans), each)
-    return row[:k], [State(plan, x[:k], x[k:-1].reshape(k, k), float(x[-1])) for plan, x in zip(plans, own, strict=True)]
+    row = np.array(rows).sum(axis=0) if rows else np.zeros(k + (k + k * k) * len(moves))
+    return row[:k], [(x[:k], x[k:].reshape(k, k)) for x in row[k:].reshape(len(moves), k + k * k)]
 
 
-def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float = MOST, steps: int = STEPS, ridge: float = RIDGE) -> tuple[Plan, np.ndarray, np.ndarray]:
+def fit(known: DataFrame, names: list[str], targets: dict[str, float] | None = None, most: float | None = MOST, steps: int = STEPS) -> tuple[Plan, np.ndarray, np.ndarray]:
     """(plan, expected tokens reached, targets) for a table of tokens and posteriors."""
     targets, k = targets or TARGETS, len(names)
-    base, (at,) = _totals(known, [Plan(np.zeros(k), most)])
+    plan = Plan((), np.inf if most is None else most)
+    base, ((now, moments),) = _totals(known, k, plan, [np.zeros(k)])
     whole = max(float(base.sum()), 1.0)
     share = np.array([targets.get(d, 0.0) for d in names])
     anchor = names.index(ANCHOR) if ANCHOR in names and share[names.index(ANCHOR)] > 0 else int(np.argmax(share))
     wanted = share / share[anchor] * base[anchor] * SCALE if share[anchor] > 0 else base
-
-    for ridge in [*(e for e in EASIER if e > ridge), ridge]:
-
-        def value(s: State, ridge=ridge) -> float:
-            """The dual, which is convex; its least value belongs to the best rates."""
-            return ridge * whole / 2 * float(s.plan.dual @ s.plan.dual) + float(s.plan.dual @ wanted) - s.gain
-
-        for _ in range(steps):
-            gradient = ridge * at.plan.dual - (at.now - wanted) / whole
-            if np.abs(gradient).max() <= CLOSE:
-                break
-            move = np.linalg.solve(at.moments / whole + ridge * np.eye(k), gradient)
-            _, tried = _totals(known, [Plan(at.plan.dual - length * move, most) for length in LENGTHS])
-            best = min(tried, key=value)
-            if not value(best) < value(at):
-                break
-            at = best
-    return at.plan, at.now, wanted
-
-
-def _fitted(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str, targets: dict[str, float] | None, most: float, rows: int, ridge: float):
-    """(model, domains, plan, expected tokens reached, wanted); misses are logged."""
+    miss = lambda x: float((((x - wanted) / whole) ** 2).sum())
+    for _ in range(steps):
+        if (np.abs(now - wanted) <= CLOSE * wanted).all():
+            break
+        # the gradient of a document, against its tokens, is its posterior times the weighted misses
+        weights = np.linalg.pinv(moments / whole + 1e-12 * np.eye(k), hermitian=True)
+        moves = [length * (weights @ ((now - wanted) / whole)) for length in LENGTHS]
+        # beside it, the plain gradient, which goes down wherever it can
+        plain = (now - wanted) / whole / max(float(np.trace(moments)) / whole, 1e-12)
+        moves += [length * plain for length in LENGTHS]
+        _, tried = _totals(known, k, plan, moves)
+        best = min(range(len(moves)), key=lambda i: miss(tried[i][0]))
+        if not miss(tried[best][0]) < (1 - GAIN) * miss(now):
+            break
+        plan, (now, moments) = Plan((*plan.steps, tuple(moves[best].tolist())), plan.most), tried[best]
+    return plan, now, wanted
+
+
+def _scored(docs: DataFrame, kept: list[str], labelled: DataFrame, labels: DataFrame, text_col: str, rows: int) -> tuple[DataFrame, list[str]]:
+    """(the kept columns with tokens and posterior, written once; the domains)."""
     weights, dense, names = learn(labelled, labels, rows)
     model = docs.sparkSession.sparkContext.broadcast((weights, dense))  # BUCKETS rows, whatever the corpus
-    known = cut(docs.select(F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")).mapInArrow(_posteriors(model), T.StructType(_FOUND)))
-    plan, now, wanted = fit(known, names, targets, most, ridge=ridge)
+    text, keep = col(text_col).cast("string").alias(f"{OWN}text"), text_col in kept
+    others = [c for c in kept if c != text_col]
+    schema = [*(T.StructField(f"{OWN}c{i}", docs.schema[c].dataType) for i, c in enumerate(others)), *([T.StructField(f"{OWN}text", T.StringType())] if keep else []), *_FOUND]
+    known = cut(docs.select(*numbered(others), text).mapInArrow(_posteriors(model, keep), T.StructType(schema)))
+    return known.select(*renamed(others), *known.columns[len(others) :]), names
+
+
+def _fitted(known: DataFrame, names: list[str], targets: dict[str, float] | None, most: float | None) -> tuple[Plan, np.ndarray, np.ndarray]:
+    """What ``fit`` gives; misses are logged."""
+    plan, now, wanted = fit(known.select(F.col(_TOKENS).alias("tokens"), F.col(_POSTERIOR).alias("posterior")), names, targets, most)
     for domain, r, w in zip(names, now, wanted, strict=True):
         if abs(r - w) > MISS * w:
-            _log.warning("domain %s: %.0f expected tokens, %.0f wanted; rates are from 0 to %g, the ridge is %g", domain, r, w, most, ridge)
-    return model, names, plan, now, wanted
+            _log.warning("domain %s: %.0f expected tokens, %.0f wanted, after %d steps", domain, r, w, len(plan.steps))
+    return plan, now, wanted
+
+
+def _rate(plan: Plan):
+    """The rate as a built-in expression over the posterior."""
+    x = F.lit(1.0)
+    for v in plan.steps:
+        taken = sum((F.col(_POSTERIOR)[i] * F.lit(float(c)) for i, c in enumerate(v)), F.lit(0.0))
+        x = F.greatest(x - taken, F.lit(0.0))
+        if np.isfinite(plan.most):
+            x = F.least(x, F.lit(plan.most))
+    return x
 
 
-def totals(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, ridge: float = TIGHT) -> DataFrame:
-    """(domain, reached, wanted): the domains' expected tokens at the rates that ``mix`` gives with this ridge, and the targets."""
-    _, names, _, now, wanted = _fitted(docs, labelled, labels, text_col, targets, most, rows, ridge)
+def totals(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float | None = MOST, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(domain, reached, wanted): the domains' expected tokens at the rates that ``mix`` gives, and the targets."""
+    known, names = _scored(docs, [], labelled, labels, text_col, rows)
+    _, now, wanted = _fitted(known, names, targets, most)
     return docs.sparkSession.createDataFrame(list(zip(names, now.tolist(), wanted.tolist(), strict=True)), "domain string, reached double, wanted double")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, rows: int = TRAIN_ROWS, keep_text: bool = False, ridge: float = RIDGE) -> DataFrame:
-    """``docs`` (without the text, unless asked for) with tokens, posterior, domain (the likeliest) and rate."""
-    model, names, plan, _, _ = _fitted(docs, labelled, labels, text_col, targets, most, rows, ridge)
-    kept = [c for c in docs.columns if c not in ("tokens", "posterior", "domain", "rate") and (keep_text or c != text_col)]
-    text = F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text")
-    schema = T.StructType([*(docs.schema[c] for c in kept), *_FOUND, T.StructField("rate", T.DoubleType())])
-    scored = docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(_posteriors(model, plan), schema)
-    likeliest = F.expr("array_position(posterior, array_max(posterior))").cast("int")
+def mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, text_col: str = "text", targets: dict[str, float] | None = None, most: float | None = MOST, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``docs`` without the text, with tokens, posterior, domain (the likeliest) and rate; ``most`` bounds the rates, unless it is None."""
+    kept = [c for c in docs.columns if c not in ("tokens", "posterior", "domain", "rate", text_col)]
+    known, names = _scored(docs, kept, labelled, labels, text_col, rows)
+    plan, _, _ = _fitted(known, names, targets, most)
+    likeliest = F.expr(f"array_position({_POSTERIOR}, array_max({_POSTERIOR}))").cast("int")
     domain = F.element_at(F.array(*[F.lit(d) for d in names]), likeliest).alias("domain")
-    return scored.select(*[F.col(f"`{c}`") for c in kept], "tokens", "posterior", domain, "rate")
+    return known.select(*[col(c) for c in kept], F.col(_TOKENS).alias("tokens"), F.col(_POSTERIOR).alias("posterior"), domain, _rate(plan).alias("rate"))
 
 
-def copies(mixed: DataFrame, salt: list[str]) -> DataFrame:
-    """How often each row is used: its rate, rounded up with the probability of its fraction by a hash of ``salt``."""
-    draw = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return mixed.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+def copies(rate, salt: list):
+    """How often a row is used: its rate, rounded up with the probability of its fraction by a hash of ``salt``."""
+    draw = F.pmod(F.xxhash64(*salt), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(rate + draw).cast("int")
 
 
-def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float = MOST, ridge: float = TIGHT) -> DataFrame:
+def apply_mix(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, most: float | None = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with their own columns."""
-    mixed = copies(mix(docs, labelled, labels, text_col, targets, most, keep_text=True, ridge=ridge), [id_col])
-    return mixed.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    known, names = _scored(docs, docs.columns, labelled, labels, text_col, TRAIN_ROWS)
+    plan, _, _ = _fitted(known, names, targets, most)
+    text = F.col(f"{OWN}text").cast(docs.schema[text_col].dataType)
+    own = known.withColumn(f"{OWN}copies", copies(_rate(plan), [F.col(f"{OWN}text") if id_col == text_col else col(id_col)])).where(f"{OWN}copies > 0")
+    again = own.withColumn(f"{OWN}copies", F.explode(F.sequence(F.lit(1), F.col(f"{OWN}copies"))))
+    return again.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = copies(mix(docs, docs, table(spark, sf_dir, "labels"), ridge=TIGHT), ["doc_id"])
-    return mixed.select("doc_id", "source", "tokens", "posterior", "domain", "rate", "copies")
+    mixed = mix(docs.select("doc_id", "source", "text"), docs, table(spark, sf_dir, "labels"))
+    return mixed.withColumn("copies", copies(F.col("rate"), [F.col("doc_id")])).select("doc_id", "source", "tokens", "posterior", "domain", "rate", "copies")
