@@ -11,14 +11,17 @@ must reach ``CONTAINMENT``.
 
 A short template is one window, met by windows at every word. A long one has
 windows of ``WINDOW`` shingles at each of its words, so those of a text may
-stand ``STRIDE`` apart and a verbatim passage still holds one that is equal.
+stand ``STRIDE`` apart and a verbatim passage still holds one that is equal. A
+text shorter than a window is a window of its own.
 
-How it scales. One map over the scan; templates are few and their tables are
-sent with the task (``MOST_WORDS`` checks their size). Nothing is shuffled.
+How it scales. One map over the scan; the templates' tables are sent with the
+task. A list of more than ``GROUP_WORDS`` words is dealt in groups, each a map of
+its own, so that what is sent is bounded. Nothing is shuffled.
 
 Results that hold by definition:
 
-* null, empty and short texts match nothing; rows with a null id are scanned;
+* null and empty texts, and those of one word, match nothing; rows with a null id
+  are scanned; very long texts are read whole;
 * one result per row of the documents and template: its best containment, and
   the first place that has it, as a word number; repeated rows give repeated
   results;
@@ -28,13 +31,15 @@ Results that hold by definition:
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import OWN, table
+from .common import OWN, col, table
 
 #: Notices in common use. Their wording is that of the licences' own instructions and of customary one-line notices.
 TEMPLATES = {
@@ -56,13 +61,36 @@ TEMPLATES = {
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-3-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+        "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+        "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+        "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED "
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS."
+    ),
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
 }
 CONTAINMENT = 0.8
 ROWS, BANDS = 2, 6
 #: Shingles of a long template's windows, and how far those of a text stand apart.
 WINDOW, STRIDE = 32, 8
-MOST_WORDS = 200_000
+#: Words of the templates that are scanned for together, about.
+GROUP_WORDS = 200_000
 
 _WORD = np.full(256, 32, np.uint8)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -106,8 +134,6 @@ class Templates:
         for name, s in zip(self.names, self.sets, strict=True):
             if not len(s):
                 raise ValueError(f"template {name} has fewer than two words")
-        if sum(map(len, self.sets)) > MOST_WORDS:
-            raise ValueError(f"templates of more than {MOST_WORDS} words: scan with parts of them")
         self.lengths = np.array([len(s) for s in self.sets])
         self.distinct = [np.unique(s) for s in self.sets]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -128,27 +154,41 @@ class Templates:
     def candidates(self, pair: np.ndarray, whole: np.ndarray, first: np.ndarray):
         """(shingle where a window begins, template), each once."""
         n, hashes = len(pair), _hashes(pair)
+        sizes = np.diff(first)
         # from each shingle, how many of its text follow
-        left = np.repeat(first[1:], np.diff(first)) - np.arange(n) - 1
+        left = np.repeat(first[1:], sizes) - np.arange(n) - 1
+        some = sizes > 1
+        begin, count = first[:-1][some], sizes[some] - 1  # shingles of each text; at its last word there is none
+        least = []
+        if len(begin):
+            edges = np.stack([begin, begin + count], axis=1).reshape(-1)
+            edges = edges[:-1] if edges[-1] >= n else edges
+            least = [np.minimum.reduceat(h, edges)[::2] for h in hashes]
         found = []
-        for w, (key, who, seen) in self.classes.items():
+
+        def look(keys, at, key, who, seen):
+            for band in keys:
+                maybe = np.flatnonzero(seen[(band >> np.uint64(48)).astype(np.int64)])
+                if len(maybe):
+                    lo, hi = np.searchsorted(key, band[maybe], "left"), np.searchsorted(key, band[maybe], "right")
+                    hit = np.repeat(maybe, hi - lo)
+                    owner = who[textscan.flat(lo, hi - lo)]
+                    found.append(np.stack([at[hit], owner]))
+
+        for w, table_ in self.classes.items():
+            short = np.flatnonzero(count < w)
+            if len(short):
+                look(_band_keys([h[short] for h in least]), begin[short], *table_)
             if n < w:
                 continue
             fits = left[: n - w + 1] >= w
             if w == WINDOW:
-                inside = np.arange(n) - np.repeat(first[:-1], np.diff(first))
+                inside = np.arange(n) - np.repeat(first[:-1], sizes)
                 # a text's last window counts too, wherever it begins
                 fits &= (inside[: n - w + 1] % STRIDE == 0) | (left[: n - w + 1] == w)
             at = np.flatnonzero(fits)
-            if not len(at):
-                continue
-            for band in _band_keys([textscan.window_min(h, w)[at] for h in hashes]):
-                maybe = np.flatnonzero(seen[(band >> np.uint64(48)).astype(np.int64)])
-                if len(maybe):
-                    lo, hi = np.searchsorted(key, band[maybe], "left"), np.searchsorted(key, band[maybe], "right")
-                    hit = np.repeat(maybe, hi - lo)
-                    owner = who[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])] if len(hit) else hit
-                    found.append(np.stack([at[hit], owner]))
+            if len(at):
+                look(_band_keys([textscan.window_min(h, w)[at] for h in hashes]), at, *table_)
         if not found:
             return np.zeros((2, 0), np.int64)
         return np.unique(np.concatenate(found, axis=1), axis=1)
@@ -190,8 +230,15 @@ def _scan(templates: dict[str, str], containment: float):
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, containment, word_at) for each notice found in each row."""
-    given = docs.select(F.col(f"`{id_col}`").cast("bigint").alias(f"{OWN}id"), F.col(f"`{text_col}`").cast("string").alias(f"{OWN}text"))
-    return given.where(f"{OWN}text is not null").mapInArrow(_scan(templates or TEMPLATES, containment), "doc_id bigint, license string, containment double, word_at int")
+    given = docs.select(col(id_col).cast("bigint").alias(f"{OWN}id"), col(text_col).cast("string").alias(f"{OWN}text")).where(f"{OWN}text is not null")
+    groups, words = [{}], 0
+    for name, text in (templates or TEMPLATES).items():
+        words += len(text.split())
+        if words > GROUP_WORDS and groups[-1]:
+            groups, words = [*groups, {}], len(text.split())
+        groups[-1][name] = text
+    found = [given.mapInArrow(_scan(g, containment), "doc_id bigint, license string, containment double, word_at int") for g in groups]
+    return reduce(DataFrame.unionByName, found)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
