@@ -23,6 +23,8 @@ Results that hold by definition:
 * entries without value, verdict or date are ignored, and so are repeated ones;
 * every row of the captures gives one row, repeated rows too; other columns
   pass through, whatever their names, unless named like a result column;
+* URLs are read whole, however long; ties are settled by the rule above, as two
+  entries of one domain and verdict are one;
 * an empty list gives ``none`` everywhere; empty captures give an empty table.
 """
 
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, table
+from .common import OWN, col, table
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 #: A standing list; the feed of ``feed`` comes on top of it.
@@ -62,7 +64,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_on") -> DataFrame:
     """``captures`` with the columns host, verdict and entry (the domain that decided)."""
-    at = captures.withColumn(f"{OWN}host", host(F.col(f"`{url_col}`").cast("string"))).withColumn(f"{OWN}at", F.to_date(F.col(f"`{time_col}`")))
+    at = captures.withColumn(f"{OWN}host", host(col(url_col).cast("string"))).withColumn(f"{OWN}at", F.to_date(col(time_col)))
     labels = F.split("h", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hosts = at.select(F.col(f"{OWN}host").alias("h")).where("h is not null").distinct().select("h", F.explode(parents).alias("value"))
@@ -73,7 +75,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     active = F.filter(f"{OWN}spans", lambda s: (s["since"] <= day) & (s["till"].isNull() | (day < s["till"])))
     best = F.array_max(F.transform(active, lambda s: F.struct(s["size"].alias("size"), s["verdict"].alias("verdict"), s["value"].alias("value"))))
     return both.withColumn(f"{OWN}best", best).select(
-        *[F.col(f"`{c}`") for c in captures.columns if c not in ("host", "verdict", "entry")],
+        *[col(c) for c in captures.columns if c not in ("host", "verdict", "entry")],
         F.col(f"{OWN}host").alias("host"),
         F.coalesce(F.col(f"{OWN}best.verdict"), F.lit("none")).alias("verdict"),
         F.col(f"{OWN}best.value").alias("entry"),
