@@ -1,4 +1,22 @@
-"""A corpus from raw documents to token ids: quality rules, near copies, repeated passages, mixing, encoding."""
+"""A corpus from raw documents to token ids: quality rules, near copies, repeated passages, mixing, encoding.
+
+Results that hold by definition, stage by stage (the operators' modules say more):
+
+* null, empty and blank texts fail the rules and go; nulls in other columns change
+  nothing; a null id passes, is compared with nothing, is never cut and is mixed
+  and encoded like any other;
+* of rows that repeat an id, or documents that are near copies, one stays: there
+  are no ties, as the least id and then the least text hash decide; mixing may
+  then use a row several times;
+* very long texts are read whole in every stage;
+* an empty table, or one without labels, goes through: without labels all mass is
+  on one domain;
+* extra columns of the documents, whatever their names, reach the mixing stage
+  untouched; the last stage returns the columns of ``KEEP`` with the ids.
+
+The stages' results are written to the shared folder. Each is removed when the
+next is written; the last stays, as the caller reads it.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe_codec, quality_rules, simhash_dedup, source_mixing, suffix_dedup
-from tidewell.llm.common import shared_dir, table
+from tidewell.llm.common import remove, shared_dir, table
+
+#: Columns of the documents that the last stage keeps.
+KEEP = ["doc_id", "lang", "source"]
 
 #: Null: neither fingerprints nor suffix arrays nor a classifier can be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -36,7 +57,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
-    return bpe_codec.encode(docs, keep=["doc_id", "lang", "source"])
+    return bpe_codec.encode(docs, keep=KEEP)
 
 
 STAGES = [("quality rules", quality), ("near copies", near_copies), ("repeated passages", repeats), ("mixing", mixing), ("encoding", tokens)]
@@ -48,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
