@@ -133,7 +133,7 @@ def test_simhash_blocks():
             for bit in r.choice(128, r.integers(1, 21), replace=False).tolist():
                 flips[bit // 64, i] |= np.uint64(1 << bit % 64)
         assert (simhash_dedup.first_block(flips[1], flips[0], m, 20) < m).all()
-    assert simhash_dedup.plan(1000) == 21 > simhash_dedup.plan(10**6) > simhash_dedup.plan(10**9)
+    assert [simhash_dedup.plan(n) for n in (1000, 10**5, 10**7)] == [21, 12, 10]
 
 
 def test_simhash_hot_key(spark, monkeypatch):
@@ -531,9 +531,9 @@ def test_large_cells(spark, monkeypatch):
     home = vecs.mapInArrow(embedding_dedup._cells(24, 2, 1, 0.1, None), "key bigint")
     assert home.groupBy("key").count().agg(F.max("count")).first()[0] > 150
     dealt = cells.deal(home, 920, 40, 64, 4)
-    spread = vecs.mapInArrow(embedding_dedup._cells(24, 2, 1, 0.1, dealt), "key bigint, sub bigint, role int, block int, id bigint, vec binary")
+    spread = vecs.mapInArrow(embedding_dedup._cells(24, 2, 1, 0.1, dealt), "key bigint, place bigint, block int, id bigint, vec binary")
     # no task's key holds more than two parts at home
-    assert spread.where("role < 3").groupBy("key", "sub").count().agg(F.max("count")).first()[0] < 200
+    assert spread.where("place % 4 < 3").groupBy("key", F.shiftright("place", 2)).count().agg(F.max("count")).first()[0] < 200
 
 
 def test_equal_vectors(spark):

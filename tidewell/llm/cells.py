@@ -23,7 +23,7 @@ from . import textscan
 
 #: Large cells at most: rows at home, over the threshold, can't be more.
 MOST_LARGE = 1 << 19
-#: Roles in a cell: at home in a part that meets itself, in the first and the second of two parts, and probing.
+#: Roles in a cell, the lowest two bits of a row's place in it: at home in a part that meets itself, in the first and the second of two parts, and probing.
 HOME, FIRST, SECOND, PROBE = range(4)
 
 
@@ -39,22 +39,22 @@ class Deal:
     keys: np.ndarray
     parts: np.ndarray
 
-    def __call__(self, key: np.ndarray, ids: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, sub, role) for rows of these keys: a row of a large cell comes once for each part."""
+    def __call__(self, key: np.ndarray, ids: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) for rows of these keys: a row of a large cell comes once for each part. A place is 4 x the pair of parts + role."""
         n = len(key)
         at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
         large = self.keys[at] == key if len(self.keys) else np.zeros(n, bool)
         if not large.any():
-            return np.arange(n), np.zeros(n, np.int64), np.full(n, PROBE if probe else HOME, np.int32)
+            return np.arange(n), np.full(n, PROBE if probe else HOME)
         parts = np.where(large, self.parts[at], 1)
         row = np.repeat(np.arange(n), parts)
         other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
         many = parts[row]
         if probe:
-            return row, other * many + other, np.full(len(row), PROBE, np.int32)
+            return row, 4 * (other * many + other) + PROBE
         own = (textscan.mix(ids.view(np.uint64), 21) % parts.astype(np.uint64)).astype(np.int64)[row]
-        role = np.where(own == other, HOME, np.where(own < other, FIRST, SECOND)).astype(np.int32)
-        return row, np.minimum(own, other) * many + np.maximum(own, other), role
+        role = np.where(own == other, HOME, np.where(own < other, FIRST, SECOND))
+        return row, 4 * (np.minimum(own, other) * many + np.maximum(own, other)) + role
 
 
 def deal(home: DataFrame, rows: int, least: int, part: int, spread: int = 1) -> Deal:
@@ -67,30 +67,30 @@ def deal(home: DataFrame, rows: int, least: int, part: int, spread: int = 1) ->
 
 
 def stream(batches, columns: int, tile, compare, tile_rows: int, emit):
-    """Compare what meets in each cell of rows (key, sub, role, ...) that come sorted by these.
+    """Compare what meets in each cell of rows (key, place, ...) that come sorted by these.
 
-    ``tile`` makes a tile of the other columns of some rows; ``compare(s, t)``
-    compares two tiles (or one with itself) and yields results; ``emit(t)``
-    yields a tile's own result when nothing more will meet it.
+    ``tile`` makes a tile of a key and the other columns of some of its rows;
+    ``compare(s, t)`` compares two tiles (or one with itself) and yields results;
+    ``emit(t)`` yields a tile's own result when nothing more will meet it.
     """
     held, now = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, sub, role = (batch.column(c).to_numpy() for c in range(3))
-        rest = [batch.column(c) for c in range(3, columns)]
-        new = np.flatnonzero((key[1:] != key[:-1]) | (sub[1:] != sub[:-1]) | (role[1:] != role[:-1])) + 1
+        key, where = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        rest = [batch.column(c) for c in range(2, columns)]
+        new = np.flatnonzero((key[1:] != key[:-1]) | (where[1:] != where[:-1])) + 1
         bounds = [0, *new.tolist(), len(key)]
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            place, r = (key[s], sub[s]), int(role[s])
+            place, r = (key[s], where[s] >> 2), int(where[s] & 3)
             if place != now:
                 for t in held:
                     yield from emit(t)
                 held, now = [], place
-            if r in (SECOND, PROBE) and not held or r == HOME and not held and e - s == 1 and e < len(key) and (key[e], sub[e]) != place:
+            if r in (SECOND, PROBE) and not held or r == HOME and not held and e - s == 1 and e < len(key) and (key[e], where[e] >> 2) != place:
                 continue
             for at in range(s, e, tile_rows):
-                t = tile([c.slice(at, min(e, at + tile_rows) - at) for c in rest])
+                t = tile(int(key[s]), [c.slice(at, min(e, at + tile_rows) - at) for c in rest])
                 if r != FIRST:
                     for other in held:
                         yield from compare(other, t)

@@ -188,10 +188,10 @@ def _cells(dim: int, m: int, g: int, budget: float, dealt: cells.Deal | None):
                     if not probe:
                         yield pa.RecordBatch.from_arrays([pa.array(key)], ["key"])
                     continue
-                row, sub, role = dealt(key, ids[at], probe)
+                row, place = dealt(key, ids[at], probe)
                 pick = pa.array(at[row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[row]), pa.array(sub), pa.array(role), pa.array(np.full(len(row), b, np.int32)), batch.column(0).take(pick), batch.column(1).take(pick)], ["key", "sub", "role", "block", "id", "vec"]
+                    [pa.array(key[row]), pa.array(place), pa.array(np.full(len(row), b, np.int32)), batch.column(0).take(pick), batch.column(1).take(pick)], ["key", "place", "block", "id", "vec"]
                 )
 
     return run
@@ -236,7 +236,7 @@ def _compare(dim: int, m: int, budget: float):
     bounds = _blocks(dim, m)
 
     def run(batches):
-        def tile(columns):
+        def tile(key, columns):
             block = columns[0][0].as_py()
             return Tile(columns[1].to_numpy(), matrix(columns[2], dim), block, *bounds[block])
 
@@ -255,7 +255,7 @@ def _compare(dim: int, m: int, budget: float):
             if len(has):
                 yield pa.RecordBatch.from_arrays([pa.array(t.ids[has]), pa.nulls(len(has), pa.int64()), pa.array(t.links[has])], ["a", "b", "links"])
 
-        yield from cells.stream(batches, 6, tile, compare, TILE, emit)
+        yield from cells.stream(batches, 5, tile, compare, TILE, emit)
 
     return run
 
@@ -273,9 +273,9 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         some = vecs.orderBy(F.xxhash64("vec"), "id").limit(SAMPLE).toArrow().column(1)
         m, g = plan(n, dim, budget, matrix(some, dim))
         large = cells.deal(vecs.mapInArrow(_cells(dim, m, g, budget, None), "key bigint"), n * m, SPLIT, max(TILE, PART_BYTES // (4 * dim)), SPREAD)
-        spread = vecs.mapInArrow(_cells(dim, m, g, budget, large), "key bigint, sub bigint, role int, block int, id bigint, vec binary")
+        spread = vecs.mapInArrow(_cells(dim, m, g, budget, large), "key bigint, place bigint, block int, id bigint, vec binary")
         # a fixed number of partitions: those merged by size would put the work on few tasks
-        keyed = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "sub").sortWithinPartitions("key", "sub", "role")
+        keyed = spread.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("key"), F.shiftright("place", 2)).sortWithinPartitions("key", "place")
         here = keyed.mapInArrow(_compare(dim, m, budget), "a bigint, b bigint, links bigint")
         met = here if met is None else met.unionByName(here)
     met = cut(met) if met is not None else spark.createDataFrame([], "a bigint, b bigint, links bigint")

@@ -123,19 +123,24 @@ def blocks(m: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(bits * j // m, bits * (j + 1) // m) for j in range(m)]
 
 
-def plan(n: int, distance: int = DISTANCE, bits: int = BITS, row_ns: float = 2000, pair_ns: float = 5, cell_ns: float = 60_000) -> int:
-    """The number of blocks of the least estimated cost for n distinct fingerprints: rows, chance meetings and keys."""
+def plan(n: int, distance: int = DISTANCE, bits: int = BITS, row_ns: float = 500, pair_ns: float = 5) -> int:
+    """The number of blocks of the least estimated cost for n distinct fingerprints, by rows and chance meetings.
+
+    Of all numbers three are looked at: every bit of budget 0, and about 60 and
+    112 rows a fingerprint (at the production distance). Fewer blocks would meet
+    less by chance, but their rows take more disk than the table.
+    """
 
     def cost(m: int) -> float:
-        rows = met = keys = 0.0
+        rows = met = 0.0
         for t, (a, b) in zip(budgets(m, distance), blocks(m, bits), strict=True):
             near = sum(comb(b - a, k) for k in range(t + 1))
             rows += 1 + (near - 1) / 2
             met += min(1.0, near * 2.0 ** (a - b))
-            keys += min(n, 2.0 ** (b - a))
-        return n * rows * row_ns + n * n / 2 * met * pair_ns + keys * cell_ns
+        return n * rows * row_ns + n * n / 2 * met * pair_ns
 
-    return min(range(min(3, distance + 1), distance + 2), key=cost)
+    whole = distance + 1
+    return min(sorted({whole, max(1, whole * 4 // 7), max(1, whole // 2)}, reverse=True), key=cost)
 
 
 def _value(hi: np.ndarray, lo: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -160,10 +165,10 @@ def _keys(m: int, distance: int, dealt: cells.Deal | None):
 
             def out(value, at, b, probe):
                 key = (textscan.mix(value, b) >> np.uint64(6) if width > 58 else value) << np.uint64(5) | np.uint64(b)
-                row, sub, role = dealt(key.view(np.int64), ids[at], probe)
+                row, place = dealt(key.view(np.int64), ids[at], probe)
                 pick = at[row]
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)[row]), pa.array(sub), pa.array(role), *(pa.array(x[pick]) for x in (ids, hi, lo))], ["key", "sub", "role", "rep", "hi", "lo"]
+                    [pa.array(key.view(np.int64)[row]), pa.array(place), *(pa.array(x[pick]) for x in (ids, hi, lo))], ["key", "place", "rep", "hi", "lo"]
                 )
 
             for b, (most, (start, end)) in enumerate(each):
@@ -219,9 +224,9 @@ def _compare(m: int, distance: int):
                 a, b = spanning(s.ids[i], t.ids[j])
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "links"])
 
-        def tile(columns):
-            t = Tile(columns[1:])
-            t.block = int(columns[0][0].as_py()) & 31
+        def tile(key, columns):
+            t = Tile(columns)
+            t.block = key & 31
             return t
 
         def emit(t: Tile):
@@ -229,7 +234,7 @@ def _compare(m: int, distance: int):
             if len(has):
                 yield pa.RecordBatch.from_arrays([pa.array(t.ids[has]), pa.nulls(len(has), pa.int64()), pa.array(t.links[has])], ["a", "b", "links"])
 
-        yield from cells.stream(batches, 7, tile, compare, TILE, emit)
+        yield from cells.stream(batches, 5, tile, compare, TILE, emit)
 
     return run
 
@@ -241,8 +246,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = prints.count()
     m = m or plan(n, distance)
     large = cells.deal(prints.mapInArrow(_keys(m, distance, None), "key bigint"), n * m, PART, PART)
-    spread = prints.mapInArrow(_keys(m, distance, large), "key bigint, sub bigint, role int, rep bigint, hi bigint, lo bigint")
-    keyed = spread.repartition("key", "sub").sortWithinPartitions("key", "sub", "role").select("key", "sub", "role", F.col("key").alias("k"), "rep", "hi", "lo")
+    spread = prints.mapInArrow(_keys(m, distance, large), "key bigint, place bigint, rep bigint, hi bigint, lo bigint")
+    keyed = spread.repartition(F.col("key"), F.shiftright("place", 2)).sortWithinPartitions("key", "place")
     met = cut(keyed.mapInArrow(_compare(m, distance), "a bigint, b bigint, links bigint"))
     links = met.where("links is not null").groupBy(F.col("a").alias("l_rep")).agg(F.sum("links").alias("n"))
     # an id with several texts is a member of all their groups
