@@ -104,7 +104,11 @@ def test_caps_and_other_events():
     assert extract.features(post(did="\ud800"))["source"] is None
     assert extract.decode('{"time_us": 1', 0) is None and extract.decode("[" * 100_000, 0) is None
     assert extract.shallow_time('{"a": {"time_us": 1}, "time_us": 25, "b": "\\"time_us\\": 3"}') == 25
-    assert extract.shallow_time('{"time_us": 2.5}') is None
+    for text, want in (('{"time_us": 2.5}', None), ('[{"time_us": 3}]', None), ('{"time_us": 12abc}', None), ('{"time_us": 4, "time_us": 5}', 4), (' {"a": [1], "time_us" : 6 }', 6), ('{"time_us": -1}', None), ('{"time_us": 99999999999999999999}', None), ('"time_us": 7', None), ('{"time_us": 8', None)):
+        assert extract.shallow_time(text) == want
+    assert extract.judge("{", 0)[0] == "malformed" and extract.judge(None, 0)[0] == "malformed"
+    key = bytes(32)
+    assert len(extract.source_digest("did:a", key)) == 32 and extract.source_digest(None, key) is None and extract.source_digest("did:a", key) != extract.source_digest("did:a", b"1" * 32)
 
 
 def test_codec():

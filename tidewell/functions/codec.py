@@ -127,11 +127,25 @@ def verify(raw: bytes, expected: str | None = None) -> dict:
     return {"bytes": len(raw), "checksum": own, "matches": None if expected is None else bytes.fromhex(own) == parse_checksum(expected), "valid": valid}
 
 
-@F.pandas_udf(T.StructType([T.StructField("bytes", T.LongType()), T.StructField("checksum", T.StringType()), T.StructField("valid", T.BooleanType())]))
-def verify_udf(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([{k: v for k, v in verify(bytes(x)).items() if k != "matches"} for x in raw])
+def counts(raw: bytes) -> dict[str, int]:
+    """A map of counts, strictly: one document, text keys, whole numbers of up to 64 bits."""
+    value = unpack(raw)
+    if not isinstance(value, dict):
+        raise ValueError("not a map of counts")
+    for k, n in value.items():
+        if not isinstance(k, str) or type(n) is not int or not -MAX_I64 - 1 <= n <= MAX_I64:
+            raise ValueError(f"{k!r}: {n!r} is no count")
+    return value
+
+
+@F.pandas_udf(T.StructType([T.StructField("counts", T.MapType(T.StringType(), T.LongType())), T.StructField("error", T.StringType())]))
+def counts_udf(raw: pd.Series) -> pd.DataFrame:
+    """The counts of packed maps, or why a map can't be taken."""
 
+    def read(x):
+        try:
+            return counts(bytes(x)), None
+        except (ValueError, TypeError) as e:
+            return None, str(e)
 
-@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
-def unpack_counts_udf(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda x: unpack(bytes(x)))
+    return pd.DataFrame([read(x) if x is not None else (None, "null") for x in raw], columns=["counts", "error"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,49 +142,98 @@ def usable_time(time_us: object, now: float) -> bool:
     return type(time_us) is int and 0 <= time_us < 1 << 63 and time_us / 1e6 <= now + SKEW
 
 
-def decode(raw: str, now: float) -> dict | None:
-    """The features of a raw frame; None for frames that aren't JSON, aren't posts or are dated beyond the skew."""
+def judge(raw: object, now: float) -> tuple[str, dict | None]:
+    """(what became of a raw frame, its features): post, other, malformed (no JSON object), skewed (no usable time, or beyond the skew) or failed."""
     try:
         event = json.loads(raw)
-    except (ValueError, RecursionError):
-        return None
-    if not isinstance(event, dict) or not usable_time(event.get("time_us"), now):
-        return None
-    return features(event)
+    except (ValueError, TypeError, RecursionError):
+        return "malformed", None
+    if not isinstance(event, dict):
+        return "malformed", None
+    if not usable_time(event.get("time_us"), now):
+        return "skewed", None
+    try:
+        found = features(event)
+    except Exception:  # noqa: BLE001  # one event must not end the stream; it is counted
+        return "failed", None
+    return ("other", None) if found is None else ("post", found)
+
+
+def decode(raw: object, now: float) -> dict | None:
+    """The features of a raw frame; None for whatever is no post."""
+    return judge(raw, now)[1]
+
+
+_NUMBER = re.compile(r'\s*:\s*(-?\d+)\s*(?=[,}])')
 
 
 def shallow_time(raw: str) -> int | None:
-    """``time_us`` of the outermost object, without parsing what is nested: a cursor for frames that can't be decoded."""
-    depth, at, n, found = 0, 0, len(raw), None
+    """The first ``time_us`` of the outermost object, if it is a whole number of up to 63 bits; what is nested isn't parsed.
+
+    A cursor for frames that can't be decoded; anything but an object has none.
+    """
+    at, n, depth = 0, len(raw), 0
+    if raw.lstrip()[:1] != "{":
+        return None
     while at < n:
         c = raw[at]
         if c == '"':
             end = at + 1
             while end < n and raw[end] != '"':
                 end += 2 if raw[end] == "\\" else 1
-            if depth == 1 and raw[at + 1 : end] == "time_us":
-                rest = raw[end + 1 :].lstrip()
-                if rest[:1] == ":":
-                    digits = rest[1:].lstrip()
-                    k = next((i for i, ch in enumerate(digits) if not ch.isascii() or not ch.isdigit()), len(digits))
-                    if 0 < k < 20 and digits[k : k + 1] not in (".", "e", "E"):
-                        found = int(digits[:k])
+            if depth == 1 and raw[at + 1 : end] == "time_us" and raw[end + 1 :].lstrip()[:1] == ":":
+                found = _NUMBER.match(raw, end + 1)
+                value = int(found[1]) if found and len(found[1]) < 20 else -1
+                return value if 0 <= value < 1 << 63 else None
             at = end
         elif c in "{[":
             depth += 1
         elif c in "}]":
             depth -= 1
         at += 1
-    return found
+    return None
+
 
+def source_digest(source: str | None, key: bytes) -> str | None:
+    """What stands for a source outside of its post: a keyed digest, so that nothing that is kept names it."""
+    return None if source is None else hashlib.blake2b(source.encode(), key=key, digest_size=16).hexdigest()
 
-def posts(frames: DataFrame, now: float, raw_col: str = "value") -> DataFrame:
-    """The features of the posts among raw frames (batch or stream)."""
+
+def posts(frames: DataFrame, now: float | Callable[[], float], raw_col: str = "value", arrival_col: str | None = None, digest_key: bytes | None = None) -> DataFrame:
+    """The features of the posts among raw frames (batch or stream).
+
+    ``now`` may be a clock, which is read for each batch. ``arrival_col`` (a
+    double) is carried along; with a ``digest_key`` sources are digests.
+    """
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    extra = [arrival_col] if arrival_col else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = now() if callable(now) else now
+            rows = []
+            for i, raw in enumerate(batch[raw_col]):
+                found = decode(raw, at)
+                if found is not None:
+                    if digest_key is not None:
+                        found["source"] = source_digest(found["source"], digest_key)
+                    rows.append(found | ({arrival_col: batch[arrival_col].iloc[i]} if arrival_col else {}))
+            yield pd.DataFrame(rows, columns=[*names, *extra])
+
+    return frames.select(F.col(raw_col), *map(F.col, extra)).mapInPandas(run, SCHEMA + (f", {arrival_col} double" if arrival_col else ""))
+
+
+def outcomes(frames: DataFrame, now: float, raw_col: str = "value") -> DataFrame:
+    """(value, outcome, missing_source) for each raw frame: what ``posts`` leaves out isn't lost unseen."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [f for f in (decode(r, now) for r in batch[raw_col] if isinstance(r, str)) if f is not None]
-            yield pd.DataFrame(rows, columns=names)
+            found = [judge(r, now) for r in batch[raw_col]]
+            yield pd.DataFrame({"value": batch[raw_col], "outcome": [o for o, _ in found], "missing_source": [f is not None and f["source"] is None for _, f in found]})
+
+    return frames.select(F.col(raw_col)).mapInPandas(run, "value string, outcome string, missing_source boolean")
+
 
-    return frames.select(F.col(raw_col)).mapInPandas(run, SCHEMA)
+def quarantine(frames: DataFrame, now: float, raw_col: str = "value") -> DataFrame:
+    """(value, outcome) of the frames that could not be used."""
+    return outcomes(frames, now, raw_col).where("outcome in ('malformed', 'skewed', 'failed')").select("value", "outcome")

@@ -23,9 +23,11 @@ _BLOCKS = "☀-⛿✀-➿\U0001f1e6-\U0001f1ff\U0001f300-\U0001f5ff\U0001f600-\U
 EMOJI = re.compile(f"[{_BLOCKS}](?:[️\U0001f3fb-\U0001f3ff]|‍[{_BLOCKS}])*")
 
 GLAD = frozenset(
-    "perfect excellent glad proud hope fun nice cool thank thanks won win excited wonderful beautiful best awesome amazing happy good great loved love".split()
+    "amazing awesome beautiful best cool excellent excited fun glad good great happy hope love loved nice perfect proud thank thanks win won wonderful".split()
+)
+SORRY = frozenset(
+    "angry annoying awful bad broken disappointed fail failed hate hated horrible lose lost sad scared sick terrible tired ugly worst wrong".split()
 )
-SORRY = frozenset("disappointed ugly broken wrong tired sick scared failed fail lost lose annoying horrible terrible worst awful angry sad bad hated hate".split())
 GLAD_EMOJI = frozenset("😁🙏👍🎉🔥✨😊🥰😂😍💜💙💚💛🧡❤")
 SORRY_EMOJI = frozenset("😨😰😞🤮😠💔👎😡😭😢")
 
@@ -117,11 +119,6 @@ def tags_in_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: tags_in(v) if isinstance(v, str) else None)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def emojis_udf(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: emojis(v) if isinstance(v, str) else None)
-
-
 @F.pandas_udf(T.DoubleType())
 def sentiment_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: sentiment(v) if isinstance(v, str) else None).astype("float64")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import codec
+
 WINDOWS = {"5m": 5, "1h": 60, "24h": 1440}
 TTL = {"5m": 60, "1h": 300, "24h": 900}
 TOP = 50
@@ -19,6 +21,9 @@ FAMILIES = {"tags": "tag", "links": "url", "domains": "domain", "emoji": "emoji"
 #: Keys that a checkpoint keeps of each minute and family.
 HEADS = {"tag": 20, "url": 20, "domain": 20, "emoji": 10, "lang": 15}
 
+#: Labels that a checkpoint keeps of a tag.
+LABELS = 3
+
 
 def minute(ts: Column) -> Column:
     """Whole minutes since the epoch of a timestamp."""
@@ -33,35 +38,42 @@ def signals(posts: DataFrame) -> DataFrame:
 
     arrays = [placed(c, f, r) for r, (c, f) in enumerate(FAMILIES.items())]
     base = posts.withColumn("minute", F.floor(F.col("ts") / 60).cast("bigint"))
-    each = base.select("source", "ts", "minute", "labels", F.explode(F.concat(*arrays)).alias("s"))
+    clock = [c for c in ("arrival",) if c in posts.columns]
+    each = base.select("source", "ts", *clock, "minute", "labels", F.explode(F.concat(*arrays)).alias("s"))
     label = F.when(F.col("s.family") == "tag", F.col("labels")[F.col("s.key")])
-    return each.select("source", "ts", "minute", "s.family", "s.rank", "s.pos", "s.key", label.alias("label"))
+    return each.select("source", "ts", *clock, "minute", "s.family", "s.rank", "s.pos", "s.key", label.alias("label"))
 
 
-def bucket(posts: DataFrame, accepted: DataFrame, refused: DataFrame | None = None) -> DataFrame:
-    """The bucket table of posts and their accepted signals; ``refused`` are (minute, reason) beyond the posts' own exclusions."""
+def own_counts(posts: DataFrame) -> DataFrame:
+    """(minute, family, key, label, n): what a post counts by itself: post, language, candidates and its exclusions."""
     base = posts.withColumn("minute", F.floor(F.col("ts") / 60).cast("bigint"))
-    kept = accepted.select("minute", "family", "key", "label", F.lit(1).cast("bigint").alias("n"))
     sizes = F.size("tags") + F.size("links") + F.size("domains") + F.size("emoji")
     out = F.aggregate(F.map_values("exclusions"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    none = F.lit(None).cast("string")
-    own = base.select(
+    one = F.lit(1).cast("bigint")
+    rows = F.array(
+        F.struct(F.lit("post").alias("family"), F.lit("").alias("key"), one.alias("n")),
+        F.struct(F.lit("lang").alias("family"), F.col("lang").alias("key"), one.alias("n")),
+        F.struct(F.lit("candidate").alias("family"), F.lit("").alias("key"), (sizes + out).alias("n")),
+    )
+    left = F.transform(F.map_entries("exclusions"), lambda e: F.struct(F.lit("excluded").alias("family"), e["key"].alias("key"), e["value"].alias("n")))
+    return base.select("minute", F.explode(F.concat(rows, left)).alias("e")).select("minute", "e.family", "e.key", F.lit(None).cast("string").alias("label"), "e.n")
+
+
+def decided_counts(decided: DataFrame) -> DataFrame:
+    """(minute, family, key, label, n) of signals with a ``reason``: what was accepted, and what was excluded by reason."""
+    taken = F.col("reason").isNull()
+    return decided.select(
         "minute",
-        F.explode(
-            F.concat(
-                F.array(
-                    F.struct(F.lit("post").alias("family"), F.lit("").alias("key"), F.lit(1).cast("bigint").alias("n")),
-                    F.struct(F.lit("lang").alias("family"), F.col("lang").alias("key"), F.lit(1).cast("bigint").alias("n")),
-                    F.struct(F.lit("candidate").alias("family"), F.lit("").alias("key"), (sizes + out).alias("n")),
-                ),
-                F.transform(F.map_entries("exclusions"), lambda e: F.struct(F.lit("excluded").alias("family"), e["key"].alias("key"), e["value"].alias("n"))),
-            )
-        ).alias("e"),
-    ).select("minute", "e.family", "e.key", none.alias("label"), "e.n")
-    rows = kept.unionByName(own)
-    if refused is not None:
-        rows = rows.unionByName(refused.select("minute", F.lit("excluded").alias("family"), F.col("reason").alias("key"), none.alias("label"), F.lit(1).cast("bigint").alias("n")))
-    return rows.groupBy("minute", "family", "key", "label").agg(F.sum("n").alias("cnt"))
+        F.when(taken, F.col("family")).otherwise("excluded").alias("family"),
+        F.when(taken, F.col("key")).otherwise(F.col("reason")).alias("key"),
+        F.when(taken, F.col("label")).alias("label"),
+        F.lit(1).cast("bigint").alias("n"),
+    )
+
+
+def bucket(posts: DataFrame, decided: DataFrame) -> DataFrame:
+    """The bucket table of posts and of their signals, as ``ledger.accept`` decided them."""
+    return decided_counts(decided).unionByName(own_counts(posts)).groupBy("minute", "family", "key", "label").agg(F.sum("n").alias("cnt"))
 
 
 def sentiment_buckets(posts: DataFrame) -> DataFrame:
@@ -141,12 +153,19 @@ def sentiment_average(scores: DataFrame, window: str, now: float) -> DataFrame:
     return held.where("n > 0").select("lang", (F.col("s") / F.col("n")).alias("avg"), "n")
 
 
-def heads(buckets: DataFrame) -> DataFrame:
-    """What a checkpoint keeps: the first keys of each minute and family, and the first labels of each tag; sentiment never."""
-    keys = buckets.groupBy("minute", "family", "key").agg(F.sum("cnt").alias("cnt"))
+def heads(buckets: DataFrame, labels: int = LABELS) -> DataFrame:
+    """What a checkpoint keeps: the first keys of each minute and family, and the first labels of each tag; sentiment never.
+
+    What other labels of a kept tag count stays with it, under no label.
+    """
+    each = buckets.groupBy("minute", "family", "key", "label").agg(F.sum("cnt").alias("cnt"))
     most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in HEADS.items() for x in kv]), F.col("family")), F.lit(1024))
-    placed = keys.withColumn("place", F.row_number().over(Window.partitionBy("minute", "family").orderBy(F.desc("cnt"), "key")))
-    return placed.where(F.col("place") <= most).drop("place")
+    keys = each.groupBy("minute", "family", "key").agg(F.sum("cnt").alias("total"))
+    placed = keys.withColumn("place", F.row_number().over(Window.partitionBy("minute", "family").orderBy(F.desc("total"), "key")))
+    kept = each.join(placed.where(F.col("place") <= most).select("minute", "family", "key"), ["minute", "family", "key"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("minute", "family", "key").orderBy(F.col("label").isNull(), F.desc("cnt"), "label"))
+    named = kept.withColumn("label", F.when(rank <= labels, F.col("label")))
+    return named.groupBy("minute", "family", "key", "label").agg(F.sum("cnt").alias("cnt"))
 
 
 def merge_slices(slices: DataFrame, n: int = TOP, counts_col: str = "counts") -> DataFrame:
@@ -159,6 +178,20 @@ def merge_slices(slices: DataFrame, n: int = TOP, counts_col: str = "counts") ->
     return ranked(bounded, n).crossJoin(total).select("rank", "key", "cnt", "keys")
 
 
+def merge_packed(slices: DataFrame, n: int = TOP, raw_col: str = "raw", index_col: str = "index") -> tuple[DataFrame, bytes]:
+    """``merge_slices`` of packed maps, and the merged top as canonical bytes; one bad slice fails all, and the error names the first."""
+    read = slices.select(F.col(index_col).alias("index"), codec.counts_udf(F.col(raw_col)).alias("x")).persist()
+    try:
+        bad = read.where("x.error is not null").orderBy("index").select("index", "x.error").first()
+        if bad is not None:
+            raise ValueError(f"slice {bad['index']}: {bad['error']}")
+        rows = merge_slices(read.select("x.counts"), n).orderBy("rank").collect()  # n rows at most
+    finally:
+        read.unpersist()
+    made = slices.sparkSession.createDataFrame([tuple(r) for r in rows], "rank int, key string, cnt bigint, keys bigint")
+    return made, codec.pack({r["key"]: r["cnt"] for r in rows})
+
+
 def hit_rate(reads: DataFrame, outcome_col: str = "outcome") -> DataFrame:
     """(hits, misses, errors, hit_rate): the rate is null without reads, and errors are outside it."""
     of = lambda x: F.count_if(F.col(outcome_col) == x)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 HORIZON = 300
 SOURCE_CAP = 1024
+GLOBAL_CAP = 100_000
 
 
 def fold(times: Column, horizon: int = HORIZON) -> Column:
@@ -22,28 +23,53 @@ def fold(times: Column, horizon: int = HORIZON) -> Column:
     return F.aggregate(times, start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= horizon), F.concat(kept, F.array(t))).otherwise(kept))
 
 
-def accept(signals: DataFrame, arrival_col: str = "arrival", horizon: int = HORIZON, global_cap: int | None = None) -> DataFrame:
-    """``signals`` with ``reason``: null where accepted, else missing_source_x, duplicate_source_x or rate_limited_source_x.
-
-    One source's signals are decided together, in the order of arrival, family
-    and position; so a source is one group of an Arrow-batched function, which
-    holds at most the live tuples of that source. ``global_cap`` bounds the live
-    tuples of all sources, which is one decision after the other: with it all
-    signals are one group, so it is for replays that one worker can hold.
-    """
-    import pandas as pd
+def fold_count(times: Column, horizon: int = HORIZON) -> Column:
+    """How many ``fold`` accepts: it keeps the last one and a number."""
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(times, start, lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= horizon), F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a))["n"]
 
-    fields = signals.schema.fieldNames()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([arrival_col, "rank", "pos"], kind="stable")
-        whole = Whole(horizon, global_cap)
-        rows["reason"] = [whole.decide(*x) for x in zip(rows["source"], rows["family"], rows["key"], rows[arrival_col], strict=True)]
-        return rows[[*fields, "reason"]]
+def accept(signals: DataFrame, arrival_col: str = "arrival", horizon: int = HORIZON, global_cap: int | None = None, source_cap: int = SOURCE_CAP) -> DataFrame:
+    """``signals`` with ``reason``: null where accepted, else missing_source_x, duplicate_source_x or rate_limited_source_x.
 
-    known = signals.where("source is not null").groupBy(*(["source"] if global_cap is None else [])).applyInPandas(run, T.StructType([*signals.schema.fields, T.StructField("reason", T.StringType())]))
+    Signals are decided in the order of arrival, family and position. A source of
+    at most ``source_cap`` different signals can't reach its bound, so each of its
+    signals is decided by itself and a hot source is spread over many tasks; only
+    sources with more are decided as wholes. Rows stream through in sorted
+    order, and a task holds the live tuples of one source, never its history.
+    ``global_cap`` bounds the live tuples of all sources, which is one decision
+    after the other: with it all signals go to one task, so it is for replays.
+    """
+    schema = T.StructType([*signals.schema.fields, T.StructField("reason", T.StringType())])
+    place = [arrival_col, "rank", "pos"]
     lost = signals.where("source is null").withColumn("reason", F.concat(F.lit("missing_source_"), "family"))
-    return known.unionByName(lost)
+    known = signals.where("source is not null")
+    if global_cap is not None:
+        done = known.repartition(1).sortWithinPartitions(*place).mapInPandas(_decide([], arrival_col, horizon, global_cap, source_cap), schema)
+        return done.unionByName(lost)
+    several = known.groupBy("source", "family", "key").agg(F.lit(1).alias("one")).groupBy("source").count().where(F.col("count") > source_cap).select("source")
+    one = ["source", "family", "key"]
+    plain = known.join(several, "source", "left_anti").select(*signals.columns).repartition(*one).sortWithinPartitions(*one, *place)
+    wide = known.join(several, "source", "left_semi").select(*signals.columns).repartition("source").sortWithinPartitions("source", *place)
+    done = plain.mapInPandas(_decide(one, arrival_col, horizon, None, source_cap), schema).unionByName(wide.mapInPandas(_decide(["source"], arrival_col, horizon, None, source_cap), schema))
+    return done.unionByName(lost)
+
+
+def _decide(by: list[str], arrival_col: str, horizon: int, global_cap: int | None, source_cap: int):
+    """Decisions over rows that come sorted by ``by`` and arrival; what is live is forgotten when a new group begins."""
+
+    def run(batches):
+        group, whole = None, Whole(horizon, global_cap, source_cap)
+        for batch in batches:
+            reasons = []
+            for place, *x in zip(zip(*(batch[c] for c in by), strict=True) if by else [()] * len(batch), batch["source"], batch["family"], batch["key"], batch[arrival_col], strict=True):
+                if place != group:
+                    group, whole = place, Whole(horizon, global_cap, source_cap)
+                reasons.append(whole.decide(*x))
+            batch["reason"] = reasons
+            yield batch
+
+    return run
 
 
 class Book:
@@ -67,14 +93,28 @@ class Book:
 class Whole:
     """Books of several sources under one bound on their live tuples."""
 
-    def __init__(self, horizon: int = HORIZON, cap: int | None = None):
-        self.horizon, self.cap, self.books = horizon, cap, {}
+    def __init__(self, horizon: int = HORIZON, cap: int | None = None, source_cap: int = SOURCE_CAP):
+        self.horizon, self.cap, self.source_cap, self.books, self.size = horizon, cap, source_cap, {}, 0
+
+    def put(self, source: str, family: str, key: str, at: float) -> None:
+        """A tuple that was accepted before."""
+        self.books.setdefault(source, Book(self.horizon, self.source_cap)).live[family, key] = at
+        self.size += 1
+
+    def expire(self, now: float) -> None:
+        for b in self.books.values():
+            b.live = {k: t for k, t in b.live.items() if now - t < self.horizon}
+        self.books = {s: b for s, b in self.books.items() if b.live}
+        self.size = sum(len(b.live) for b in self.books.values())
 
     def decide(self, source: str, family: str, key: str, now: float) -> str | None:
-        book = self.books.setdefault(source, Book(self.horizon))
-        if self.cap is not None and (family, key) not in book.live and sum(len(b.live) for b in self.books.values()) >= self.cap:
-            for b in self.books.values():
-                b.live = {k: t for k, t in b.live.items() if now - t < self.horizon}
-            if len(book.live) < SOURCE_CAP and sum(len(b.live) for b in self.books.values()) >= self.cap:
+        book = self.books.setdefault(source, Book(self.horizon, self.source_cap))
+        if self.cap is not None and (family, key) not in book.live and self.size >= self.cap:
+            self.expire(now)
+            book = self.books.setdefault(source, book)
+            if len(book.live) < self.source_cap and self.size >= self.cap:
                 return f"rate_limited_global_{family}"
-        return book.decide(family, key, now)
+        before = len(book.live)
+        reason = book.decide(family, key, now)
+        self.size += len(book.live) - before
+        return reason

@@ -1,15 +1,18 @@
-"""Sources of frames: JSON lines, and a replaying stream whose offset is the event time."""
+"""Sources of frames: JSON lines, and a replaying stream whose offset is a byte."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+import time
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlencode, urlsplit, urlunsplit
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from ..functions.extract import COLLECTION, shallow_time
+from ..functions.extract import COLLECTION
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -29,30 +32,77 @@ def advanced(cursor: int | None, time_us: int) -> int:
     return time_us if cursor is None else max(cursor, time_us)
 
 
-class ReplayReader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.path, self.rows = options["path"], int(options.get("rows", "1000"))
+def resuming(connect: Callable[[str], Iterable[str]], base: str, handle: Callable[[str], int | None], sleep: Callable[[float], None] = time.sleep, attempts: int | None = None, first: float = 1.0, most: float = 60.0) -> int | None:
+    """Read frames from ``connect(address)`` and take up again where it broke off; returns the cursor.
 
-    def initialOffset(self) -> dict:
-        return {"line": 0, "cursor": 0}
+    ``handle`` returns a frame's time, or None if it is no use. After a break the
+    pause doubles from ``first`` to ``most`` seconds, and begins anew only once a
+    frame was of use. ``attempts`` bounds the connections (for tests and replays).
+    """
+    cursor, pause, left = None, first, attempts
+    while left is None or left > 0:
+        left = None if left is None else left - 1
+        try:
+            for frame in connect(subscription_url(base, cursor)):
+                at = handle(frame)
+                if at is not None:
+                    cursor, pause = advanced(cursor, at), first
+        except (OSError, EOFError):
+            pass
+        if left != 0:
+            sleep(pause)
+            pause = min(most, pause * 2)
+    return cursor
+
+
+@dataclass
+class Part(InputPartition):
+    start: int
+    end: int
 
-    def _lines(self, start: int) -> list[str]:
-        with open(self.path, encoding="utf-8") as f:
-            return [x.rstrip("\n") for i, x in enumerate(f) if start <= i < start + self.rows]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        lines, cursor = self._lines(start["line"]), start["cursor"]
-        for line in lines:
-            time_us = shallow_time(line)
-            cursor = cursor if time_us is None else advanced(cursor, time_us)
-        return iter([(x,) for x in lines]), {"line": start["line"] + len(lines), "cursor": cursor}
+class ReplayReader(DataSourceStreamReader):
+    """Offsets are bytes of whole lines, so a batch reads its own part of the file and nothing before it."""
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self._lines(start["line"])[: end["line"] - start["line"]]])
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.most = int(options.get("bytes", 64 << 20))
+
+    def initialOffset(self) -> dict:
+        return {"byte": 0}
+
+    def latestOffset(self) -> dict:
+        size = os.path.getsize(self.path)
+        with open(self.path, "rb") as f:
+            at = size
+            while at > 0:  # a line that is still being written is left for later
+                begin = max(0, at - (1 << 16))
+                f.seek(begin)
+                found = f.read(at - begin).rfind(b"\n")
+                if found >= 0:
+                    return {"byte": begin + found + 1}
+                at = begin
+        return {"byte": 0}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        edges = [*range(start["byte"], end["byte"], self.most), end["byte"]]
+        return [Part(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def read(self, part: Part) -> Iterator[tuple]:
+        """The lines that begin in the part."""
+        with open(self.path, "rb") as f:
+            if part.start:
+                f.seek(part.start - 1)
+                f.readline()
+            while f.tell() < part.end:
+                yield (f.readline().decode("utf-8", "replace").rstrip("\n"),)
 
 
 class ReplaySource(DataSource):
-    """``spark.readStream.format("frames").option("path", ...)``: stands where a socket would be; register it with ``spark.dataSource``."""
+    """``spark.readStream.format("frames").option("path", ...)``: stands where a socket would be; register it with ``spark.dataSource``.
+
+    The path is one that all executors can open.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -61,7 +111,7 @@ class ReplaySource(DataSource):
     def schema(self) -> str:
         return "value string"
 
-    def simpleStreamReader(self, schema) -> ReplayReader:
+    def streamReader(self, schema) -> ReplayReader:
         return ReplayReader(self.options)
 
 
