@@ -542,13 +542,14 @@ def test_equal_vectors(spark):
     x = r.standard_normal((150, 16))
     rows = [(i + 1000 * k, v.tolist()) for k in range(10) for i, v in enumerate(x)]
     got = embedding_dedup.classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
-    assert len(got) == 1500 and all(q["root"] == q["vec_id"] % 1000 and q["links"] == 0 for q in got)
+    assert len(got) == 1500 and all(q["class_id"] == q["vec_id"] % 1000 and q["links"] == 0 for q in got)
 
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     docs, labels = labelled(spark)
+    docs = docs.where("doc_id < 240").coalesce(2)
     extra = spark.createDataFrame([(1000, BASE, "en", "s", 1), (1001, BASE, "en", "s", 1), (1002, PASSAGE + " " + prose(90), "en", "s", 1), (1003, prose(90) + " " + PASSAGE, "en", "s", 1), (1004, None, None, None, None), (1005, "", "en", "s", 0)], DOCS)
     docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")

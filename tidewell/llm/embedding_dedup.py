@@ -289,13 +289,13 @@ def near_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 
 def classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
-    """(vec_id, root, links): each distinct id with its class, and each id that has no vector to compare as a class of its own."""
-    found = near_groups(vectors, id_col, vec_col, similarity).select(F.col("id").alias("vec_id"), "root", "links")
+    """(vec_id, class_id, links): each distinct id with its class, named by the class's least id, and each id that has no vector to compare as a class of its own."""
+    found = near_groups(vectors, id_col, vec_col, similarity).select(F.col("id").alias("vec_id"), F.col("root").alias("class_id"), "links")
     own = col(id_col).cast("bigint")
     every = vectors.select(own.alias("vec_id"))
     alone = every.join(found.select(F.col("vec_id").alias("have")), F.col("vec_id") == F.col("have"), "left_anti")
     alone = alone.where("vec_id is null").unionByName(alone.where("vec_id is not null").distinct())
-    return found.unionByName(alone.select("vec_id", F.col("vec_id").alias("root"), F.lit(0).cast("bigint").alias("links")))
+    return found.unionByName(alone.select("vec_id", F.col("vec_id").alias("class_id"), F.lit(0).cast("bigint").alias("links")))
 
 
 def drop_near_copies(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
@@ -306,5 +306,5 @@ def drop_near_copies(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, root, links) for each vector."""
+    """(vec_id, class_id, links) for each vector."""
     return classes(table(spark, sf_dir, "embeddings"))

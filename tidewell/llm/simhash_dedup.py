@@ -260,10 +260,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, root, links, kept): each distinct id with its class, and each row that can't be compared as a class of its own."""
-    found = near_groups(docs, id_col, text_col, distance).select(F.col("id").alias("doc_id"), "root", "links", (F.col("id") == F.col("root")).alias("kept"))
+    """(doc_id, class_id, links, kept): each distinct id with its class, named by the class's least id, and each row that can't be compared as a class of its own."""
+    found = near_groups(docs, id_col, text_col, distance).select(F.col("id").alias("doc_id"), F.col("root").alias("class_id"), "links", (F.col("id") == F.col("root")).alias("kept"))
     own = col(id_col).cast("bigint")
-    alone = docs.where(own.isNull() | col(text_col).isNull()).select(own.alias("doc_id"), own.alias("root"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
+    alone = docs.where(own.isNull() | col(text_col).isNull()).select(own.alias("doc_id"), own.alias("class_id"), F.lit(0).cast("bigint").alias("links"), F.lit(True).alias("kept"))
     return found.unionByName(alone)
 
 
@@ -284,5 +284,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, root, links, kept) for each document."""
+    """(doc_id, class_id, links, kept) for each document."""
     return classes(table(spark, sf_dir, "documents"))
