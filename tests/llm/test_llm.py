@@ -417,6 +417,45 @@ def test_mixing(spark, odd, none):
     assert again.groupby("doc_id")["rate"].nunique().max() == 1  # repeated rows get one rate
 
 
+def test_mixing_long_documents(spark):
+    """The driver gets the weights only: the word counts of 60 long documents, some 4 MB, are more than it may take here."""
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(12_000)) + " awful" * (i % 2), "en", "s", i) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    before = conf.get(key, "1g")
+    conf.set(key, "1500k")
+    try:
+        assert {x["doc_id"] for x in source_mixing.apply_mix(docs, docs, labels).select("doc_id").collect()} <= set(range(60))
+        weights, dense, names = source_mixing.learn(docs, labels)
+    finally:
+        conf.set(key, before)
+    assert names == ["good", "toxic"] and weights.shape == (source_mixing.BUCKETS, 2) and (np.count_nonzero(weights, axis=0) > 10_000).all()
+
+
+def test_mixing_learns(spark):
+    """Weights against dense matrices, with rows that repeat, and with the sample in many parts."""
+    docs, labels = labelled(spark)
+    docs, labels = docs.where("doc_id < 200"), labels.where("doc_id < 200")
+    twice = docs.unionByName(docs.where("doc_id < 100"))
+    given = {x["doc_id"]: "toxic" if x["toxic"] else "good" if x["quality"] else "low" for x in labels.collect()}
+    rows = [(x["text"], given[x["doc_id"]]) for x in twice.collect() if x["doc_id"] in given]
+    f = source_mixing.features(*textscan.buffer(pa.array([t for t, _ in rows])))
+    x, truth = np.zeros((len(rows), source_mixing.BUCKETS)), np.eye(3)[[source_mixing.DOMAINS.index(d) for _, d in rows]]
+    np.add.at(x, (np.repeat(np.arange(len(rows)), f.tokens), f.bucket), 1)
+    x = np.concatenate([x / np.sqrt(f.tokens)[:, None], f.extra, np.ones((len(rows), 1))], axis=1)
+    w, m, v = (np.zeros((x.shape[1], 3)) for _ in range(3))
+    for step in range(1, 121):
+        g = x.T @ (source_mixing.softmax(x @ w) - truth) / len(rows) + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    weights, dense, names = source_mixing.learn(twice, labels)
+    assert names == list(source_mixing.DOMAINS) and np.abs(np.concatenate([weights, dense]) - w).max() < 1e-6
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows]), pa.array([d for _, d in rows]), pa.array([1] * len(rows))], ["text", "domain", "times"])
+    parts = [p for b in source_mixing._counted([batch]) for p in source_mixing._samples(b, 500)]
+    assert len(parts) > 5 and np.abs(np.concatenate(source_mixing.train(parts, 3)) - w).max() < 1e-6
+
+
 def test_mixing_keeps_columns(spark, odd):
     """The caller's own columns come back as they were, also those named like results."""
     docs, labels = labelled(spark)

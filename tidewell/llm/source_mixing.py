@@ -20,9 +20,10 @@ How it scales. A document's rate after some steps follows from its posterior and
 the steps' vectors, a few numbers each. So a step is one aggregation over a
 narrow table (tokens and posteriors, written once to the shared folder, in the
 one pass that scores the documents) to a few sums; rates are never stored
-between steps, and nothing of the corpus' size is shuffled or collected. Only the
-word counts of the training sample, ``TRAIN_ROWS`` documents of at most ``BUCKETS``
-different words, go to the driver; it is drawn by a hash of the id over all labels.
+between steps, and nothing of the corpus' size is shuffled or collected. The
+training sample is drawn by a hash of the id over all labels. One task holds its
+word counts, 6 bytes for each different word of a document (``TRAIN_ROWS`` documents
+of at most ``BUCKETS``: 393 MB at most, however long they are); only the weights go to the driver.
 
 Results that hold by definition:
 
@@ -63,6 +64,8 @@ TRAIN_ROWS = 4000
 MOST = 8.0
 BUCKETS = 1 << 14
 EXTRA = 5
+#: Entries of word counts that a step of the training reads at once.
+BLOCK = 1 << 20
 #: Steps at most; they end when all domains are within ``CLOSE`` of their targets, or no length of a step brings them closer.
 STEPS = 60
 CLOSE = 1e-4
@@ -131,28 +134,41 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sample:
-    """Word counts of labelled documents: entry e is ``count[e]`` words of ``bucket[e]`` in document ``doc[e]``."""
+    """Word counts of some labelled documents: document d has the ``sizes[d]`` next entries, each ``count`` words of a ``bucket``."""
 
-    doc: np.ndarray
+    label: np.ndarray
+    times: np.ndarray  #: how often a document counts
+    tokens: np.ndarray
+    extra: np.ndarray
+    sizes: np.ndarray
     bucket: np.ndarray
     count: np.ndarray
-    extra: np.ndarray
-    tokens: np.ndarray
 
+    def slopes(self, weights: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sums over the documents of the loss' slopes."""
+        k, bucket, count, full = weights.shape[1], self.bucket.astype(np.intp), self.count.astype(np.float64), self.sizes > 0
+        starts, root = (np.cumsum(self.sizes) - self.sizes)[full], np.sqrt(np.maximum(self.tokens, 1))
+        x = np.concatenate([self.extra, np.ones((len(self.label), 1))], axis=1)
+        z = x @ dense
+        if full.any():
+            z[full] += np.stack([np.add.reduceat(count * weights[bucket, c], starts) for c in range(k)], axis=1) / root[full, None]
+        off = (softmax(z) - np.eye(k)[self.label]) * self.times[:, None]
+        words = [np.bincount(bucket, count * np.repeat(off[:, c] / root, self.sizes), BUCKETS) for c in range(k)]
+        return np.stack(words, axis=1), x.T @ off
 
-def train(f: Sample, label: np.ndarray, k: int, rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+
+def train(sample: list[Sample], k: int, rounds: int = 120, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by Adam, on all rows at once."""
-    n, doc, bucket = len(label), f.doc, f.bucket
-    value = f.count / np.sqrt(np.maximum(f.tokens, 1))[doc]
+    n = sum(int(f.times.sum()) for f in sample)
     weights, dense = np.zeros((BUCKETS, k)), np.zeros((EXTRA + 1, k))
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(dense), np.zeros_like(dense)]
-    truth = np.eye(k)[label]
-    x = np.concatenate([f.extra, np.ones((n, 1))], axis=1)
     for step in range(1, rounds + 1):
-        z = np.stack([np.bincount(doc, value * weights[bucket, c], n) for c in range(k)], axis=1) + x @ dense
-        off = (softmax(z) - truth) / n
-        slope = np.stack([np.bincount(bucket, value * off[doc, c], BUCKETS) for c in range(k)], axis=1) + decay * weights
-        for p, g, m in ((weights, slope, moments[:2]), (dense, x.T @ off + decay * dense, moments[2:])):
+        slope, other = decay * weights, decay * dense
+        for f in sample:
+            words, rest = f.slopes(weights, dense)
+            slope += words / n
+            other += rest / n
+        for p, g, m in ((weights, slope, moments[:2]), (dense, other, moments[2:])):
             m[0] *= 0.9
             m[0] += 0.1 * g
             m[1] *= 0.99
@@ -161,17 +177,47 @@ def train(f: Sample, label: np.ndarray, k: int, rounds: int = 120, rate: float =
     return weights, dense
 
 
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of values[edges[i]:edges[i + 1]] as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def _counted(batches):
-    """The counts of each text's words: at most ``BUCKETS`` entries, however long it is."""
+    """The counts of the first column's words, after the other columns: at most ``BUCKETS`` entries, however long a text is."""
     for batch in batches:
         data, offsets = textscan.buffer(batch.column(0))
         for a, b in textscan.slices(offsets):
             f = features(data, offsets[a : b + 1])
             key, count = np.unique(np.repeat(np.arange(b - a), f.tokens) * BUCKETS + f.bucket, return_counts=True)
-            edges = pa.array(np.searchsorted(key, np.arange(b - a + 1) * BUCKETS).astype(np.int32))
+            edges = np.searchsorted(key, np.arange(b - a + 1) * BUCKETS)
             extra = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * EXTRA), pa.array(f.extra.reshape(-1)))
-            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (key % BUCKETS, count)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(f.tokens), extra, *lists], ["domain", "tokens", "extra", "bucket", "count"])
+            lists = [_packed((key % BUCKETS).astype(np.uint16), edges), _packed(count.astype(np.int32), edges)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(f.tokens), extra, *lists], [*batch.schema.names[1:], "tokens", "extra", "bucket", "count"])
+
+
+def _samples(batch: pa.RecordBatch, entries: int = BLOCK):
+    """A batch of counted texts in parts of about ``entries`` entries, labelled by the places in ``DOMAINS``."""
+    label = np.array([DOMAINS.index(d) for d in batch["domain"].to_pylist()], np.int64)
+    extra, times, tokens = batch["extra"].flatten().to_numpy().reshape(-1, EXTRA), batch["times"].to_numpy(), batch["tokens"].to_numpy()
+    (buckets, edges), (counts, _) = textscan.buffer(batch["bucket"]), textscan.buffer(batch["count"])
+    edges = edges // 2
+    for a, b in textscan.slices(edges, entries):
+        # copies, so that the batch can go
+        bucket, count = (np.frombuffer(x[w * edges[a] : w * edges[b]].tobytes(), kind) for x, w, kind in ((buckets, 2, np.uint16), (counts, 4, np.int32)))
+        yield Sample(label[a:b], times[a:b].copy(), tokens[a:b].copy(), extra[a:b].copy(), np.diff(edges[a : b + 1]), bucket, count)
+
+
+def _trained(batches):
+    """One row: the domains that occur, and the weights that the counted texts give."""
+    sample = [f for batch in batches if batch.num_rows for f in _samples(batch)]
+    found = np.unique(np.concatenate([f.label for f in sample])) if sample else np.zeros(0, np.int64)
+    if len(found) > 1:
+        for f in sample:
+            f.label = np.searchsorted(found, f.label)
+        weights, dense = train(sample, len(found))
+        yield pa.RecordBatch.from_pylist([{"names": [DOMAINS[i] for i in found], "weights": weights.tobytes(), "dense": dense.tobytes()}])
+    elif len(found):
+        yield pa.RecordBatch.from_pylist([{"names": [DOMAINS[found[0]]], "weights": b"", "dense": b""}])
 
 
 def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -182,17 +228,19 @@ def learn(labelled: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tup
     drawn = named.groupBy(f"{OWN}label_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(f"{OWN}label_id"), f"{OWN}label_id").limit(rows)
     texts = labelled.select(F.col("doc_id").alias(f"{OWN}id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most TRAIN_ROWS ids and names: safe to broadcast at any size of the corpus
-    some = texts.join(F.broadcast(drawn), F.col(f"{OWN}id") == F.col(f"{OWN}label_id")).select("text", "domain").orderBy(F.xxhash64("text"), "domain").limit(rows)
-    got = some.mapInArrow(_counted, "domain string, tokens bigint, extra array<double>, bucket array<int>, count array<int>").toArrow()
-    domain = got["domain"].to_pylist()
-    names = [d for d in DOMAINS if d in set(domain)]
-    if len(names) < 2:
-        only = names or [ANCHOR]
-        return np.zeros((BUCKETS, 1)), np.zeros((EXTRA + 1, 1)), only
-    bucket, count = (got[c].combine_chunks() for c in ("bucket", "count"))
-    doc = np.repeat(np.arange(len(bucket)), bucket.value_lengths().to_numpy())
-    f = Sample(doc, bucket.flatten().to_numpy(), count.flatten().to_numpy(), got["extra"].combine_chunks().flatten().to_numpy().reshape(-1, EXTRA), got["tokens"].to_numpy())
-    return *train(f, np.array([names.index(d) for d in domain]), len(names)), names
+    some = texts.join(F.broadcast(drawn), F.col(f"{OWN}id") == F.col(f"{OWN}label_id")).select("text", F.xxhash64("text").alias("hash"), "domain")
+    # ids may repeat, so the sample is bounded again, by hashes: no task holds its texts
+    first = some.select("hash", "domain").orderBy("hash", "domain").limit(rows).groupBy("hash", "domain").agg(F.count(F.lit(1)).alias("times"))
+    counted = some.join(F.broadcast(first), ["hash", "domain"]).select("text", "hash", "domain", "times").mapInArrow(
+        _counted, "hash bigint, domain string, times bigint, tokens bigint, extra array<double>, bucket binary, count binary"
+    )
+    each = counted.groupBy("hash", "domain").agg(*[F.first(c).alias(c) for c in ("times", "tokens", "extra", "bucket", "count")])
+    # one task learns: it holds 6 bytes for each entry of the sample, and only the weights go to the driver
+    got = each.coalesce(1).mapInArrow(_trained, "names array<string>, weights binary, dense binary").collect()
+    if not got or len(got[0]["names"]) < 2:
+        return np.zeros((BUCKETS, 1)), np.zeros((EXTRA + 1, 1)), got[0]["names"] if got else [ANCHOR]
+    weights, dense = (np.frombuffer(bytes(got[0][c])).reshape(-1, len(got[0]["names"])) for c in ("weights", "dense"))
+    return weights, dense, got[0]["names"]
 
 
 _TOKENS, _POSTERIOR, _RATE = f"{OWN}tokens", f"{OWN}posterior", f"{OWN}rate"
