@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove, shared_dir  # noqa: F401
+
 #: Prefix of the columns that operators add for their own use.
 OWN = "_tw_"
 
@@ -16,22 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session, as in tests, may do without and gets one of its own."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not context._jsc.sc().isLocal():
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-    context.setCheckpointDir(own)
-    return own
-
-
 def col(name: str):
     """A column by its plain name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -54,12 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def remove(spark: SparkSession, uri: str) -> None:
-    """Delete a folder of the shared file system, if it is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under our own names, of the rows that have both."""
     return docs.select(
